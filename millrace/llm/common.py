@@ -56,7 +56,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     return docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-        F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("tag"),
+        F.xxhash64(text).bitwiseAND(F.lit(0x7FFF)).cast("int").alias("tag"),
         text.alias("text"),
     )
 

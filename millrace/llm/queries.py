@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate
+from . import bpe, decontaminate, substrings, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op5_bpe": bpe.op5_bpe,
+        "op6_substrings": substrings.op6_substrings,
+        "op10_suffixes": suffixes.op10_suffixes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.OP2_SQL}
+    return {"op2_decontaminate": decontaminate.OP2_SQL, "op6_substrings": substrings.OP6_SQL}
