@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, substrings, suffixes
+from . import bpe, decontaminate, jaccard, substrings, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_jaccard": jaccard.op3_jaccard,
         "op5_bpe": bpe.op5_bpe,
         "op6_substrings": substrings.op6_substrings,
         "op10_suffixes": suffixes.op10_suffixes,
@@ -19,4 +20,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.OP2_SQL, "op6_substrings": substrings.OP6_SQL}
+    return {"op2_decontaminate": decontaminate.OP2_SQL, "op3_jaccard": jaccard.OP3_SQL, "op6_substrings": substrings.OP6_SQL}
