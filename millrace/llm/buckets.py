@@ -21,11 +21,12 @@ MARK_TYPES = ("<i8", "<i8")
 
 def count(df: DataFrame) -> int:
     """Buckets: several for each shuffle partition, so that one holds a bounded share of it."""
-    return max(1024, 8 * C.partitions(df.sparkSession))
+    return max(256, 4 * C.partitions(df.sparkSession))
 
 
-def packed(bucket: np.ndarray, columns: list[np.ndarray], types: tuple[str, ...]) -> dict:
-    order = np.argsort(bucket, kind="stable")
+def packed(bucket: np.ndarray, columns: list[np.ndarray], types: tuple[str, ...], by: np.ndarray | None = None) -> dict:
+    """by: an order within a bucket in which the columns compress well."""
+    order = np.argsort(bucket, kind="stable") if by is None else np.lexsort((by, bucket))
     bucket, columns = bucket[order], [c[order].astype(t) for c, t in zip(columns, types, strict=True)]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
     ends = [*cuts[1:].tolist(), len(bucket)]
@@ -34,7 +35,7 @@ def packed(bucket: np.ndarray, columns: list[np.ndarray], types: tuple[str, ...]
 
 def passing(doc: np.ndarray, word: np.ndarray) -> dict:
     """Marks known on the map side, dealt out by their document."""
-    return packed(-1 - (C.mix(doc.astype(C.U64)) % C.U64(1024)).astype(np.int64), [doc, word], MARK_TYPES)
+    return packed(-1 - (C.mix(doc.astype(C.U64)) % C.U64(256)).astype(np.int64), [doc, word], MARK_TYPES, by=doc)
 
 
 def unpacked(payloads: list[bytes], types: tuple[str, ...]) -> list[np.ndarray]:

@@ -1,11 +1,18 @@
 """Op 10: removal of repeated byte strings by distributed prefix doubling.
 
-Every position of every document is a suffix. A sampled layer comes first: the window of `length` bytes at a
-position belongs to the smallest hashed gram within it, so equal windows belong to equal grams. Positions whose
-gram stands nowhere else are unique and drop out; of runs of positions whose grams and whole stretches of text
-are equal, all but the first are settled as repeated. The positions left (where equal text begins or ends) are
-ranked by Spark sorts of rank pairs at growing offsets - prefixes of 25, 50, 100 bytes - dropping positions as
-they become unique, until the prefix reaches `length`. No position is skipped: sampling only settles runs.
+Every position of every document is a suffix, and its rank stands for the class of its prefix. Ranks are made of
+pairs of ranks at growing offsets, each time by one Spark exchange and sort of (rank pair, position), and positions
+drop out once they are unique or past the threshold:
+
+* 32 bytes: the window of `length` bytes at a position belongs to the smallest hashed gram within it, so equal
+  windows belong to equal grams, and one entry stands for a run of positions. Runs with a gram of their own are
+  unique. Of runs that are equal as a whole (gram and all text around it) all but the first are settled.
+* 66 bytes: a window holds at least half of what it may hold beside its gram either left or right of it. Positions
+  for which the pair (gram, that side) is unique drop out.
+* 100 bytes: the positions left, where equal text begins or ends, are sorted by the ranks of both halves of their
+  window; of equal pairs all but the first are repeated.
+
+Sampling only settles runs of positions together; no position is skipped.
 
 Null and empty texts have no bytes; texts under `length` bytes keep all. A row with a null doc_id takes no part
 and keeps all. Rows that repeat doc_id and text are one document, each returned; rows that repeat a doc_id with
@@ -19,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import buckets as B
@@ -29,7 +36,8 @@ LENGTH = 100
 GRAM = 32
 #: A word: 15 bits of tag, 34 of position, 12 of further positions, 2 of kind.
 SETTLED, OPEN = 1, 2
-_TYPES = ("<u4", "<u8", "<i8", "<u2", "<u4", "<u2")
+_TYPES = ("<u4", "<u4", "<u2", "<u2", "<u2", "<i8", "<u2", "<u4", "u1", "u1")
+_PAIRS = ("<u4", "<u4", "<u2", "<i8", "<u2", "<u4")
 
 
 def word_of(tag, at, more, kind):
@@ -65,7 +73,12 @@ def parts_of(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, b
 
 
 def anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one smallest gram: hash of the gram and of the run's text, document, first position, further positions."""
+    """Runs of windows with one smallest gram.
+
+    Hashes of the gram, of the run's whole text, of the text left and right of the gram (half of what a window
+    holds beside it); document, first position, further positions, distance of the gram from the first.
+    """
+    half = -(-(length - gram) // 2)
     out = []
     for lot in parts_of(texts, length):
         sizes = np.array([len(p) for _, _, p in lot])
@@ -81,9 +94,12 @@ def anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...
         lo, hi, anchor = at[start], at[end], anchor[start]
         whole = C.Rolling(C.BYTE_VALUES[1][data], 1).spans(lo, hi + length) ^ C.mix(((hi - lo) * 65536 + (anchor - lo)).astype(C.U64))
         part = np.searchsorted(first, lo, side="right") - 1
+        sides, edge = C.Rolling(C.BYTE_VALUES[0][data]), anchor + gram
+        left = sides.spans(np.maximum(anchor - half, first[part]), anchor)
+        right = sides.spans(edge, np.minimum(edge + half, first[part] + sizes[part]))
         doc, offset = np.array([d for d, _, _ in lot]), np.array([o for _, o, _ in lot])
-        out.append((grams[anchor], whole, doc[part], lo - first[part] + offset[part], hi - lo))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, C.U64), np.empty(0, C.U64), *[np.empty(0, np.int64)] * 3)
+        out.append((grams[anchor], whole, left, right, doc[part], lo - first[part] + offset[part], hi - lo, anchor - lo))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (*[np.empty(0, C.U64)] * 4, *[np.empty(0, np.int64)] * 4)
 
 
 def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -91,134 +107,110 @@ def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         ids, tags = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy().astype(np.int64)
-        g, whole, doc, at, more = anchors(C.as_bytes(batch.column("text")), length, gram)
+        g, whole, left, right, doc, at, more, to_gram = anchors(C.as_bytes(batch.column("text")), length, gram)
         doc, tag = ids[doc], tags[doc]
         order = np.lexsort((at, tag, doc, whole, g))
-        g, whole, doc, tag, at, more = (x[order] for x in (g, whole, doc, tag, at, more))
+        g, whole, left, right, doc, tag, at, more, to_gram = (x[order] for x in (g, whole, left, right, doc, tag, at, more, to_gram))
         first = np.zeros(len(g), bool)
         first[B.starts_of(g, whole)] = True
         rest = ~first  # copies within the batch are settled before the shuffle
         if rest.any():
             yield B.passing(doc[rest], word_of(tag[rest], at[rest], more[rest], SETTLED))
         if first.any():
-            g, *cols = (x[first] for x in (g, whole, doc, tag, at, more))
-            yield B.packed(((g >> C.U64(32)) % n).astype(np.int64), [g & C.U64(0xFFFFFFFF), *cols], _TYPES)
+            low, bits = C.U64(0xFFFFFFFF), C.U64(32)
+            columns = [g & low, whole & low, whole >> C.U64(48), left & C.U64(0xFFFF), right & C.U64(0xFFFF), doc, tag, at, more, to_gram]
+            yield B.packed(((g >> bits) % n).astype(np.int64)[first], [c[first] for c in columns], _TYPES, by=doc[first])
 
     return C.mapped(docs.where("doc_id is not null"), step, B.SCHEMA, 8 * C.STEP)
 
 
-def settle(gram, whole, doc, tag, at, more) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of equal runs all but the first are repeated; the first stays open if its gram has other runs."""
-    order = np.lexsort((at, tag, doc, whole, gram))
-    gram, whole, doc, tag, at, more = (x[order] for x in (gram, whole, doc, tag, at, more))
-    new = np.zeros(len(gram), bool)
-    new[B.starts_of(gram, whole)] = True
-    yield doc[~new], word_of(tag[~new], at[~new], more[~new], SETTLED)
-    cuts = B.starts_of(gram)
-    kinds = np.repeat(np.add.reduceat(new.astype(np.int64), cuts), np.diff(np.r_[cuts, len(gram)]))
-    open_ = new & (kinds > 1)
-    yield doc[open_], word_of(tag[open_], at[open_], more[open_], OPEN)
-
-
-def offsets(length: int) -> list[int]:
-    """The first prefix, then the offset of each doubling."""
-    first = length
-    while first > 32:
-        first = -(-first // 2)
-    out, have = [first], first
-    while have < length:
-        out.append(min(have, length - have))
-        have += out[-1]
-    return out
-
+def settling(length: int, gram: int):
+    half = -(-(length - gram) // 2)
 
-def first_ranks(open_texts: DataFrame, length: int) -> DataFrame:
-    """Positions whose prefixes the open windows are made of, with two hashes of the first prefix as a pair."""
-    first = offsets(length)[0]
-
-    def step(batch: pa.RecordBatch) -> Iterator[dict]:
+    def settle(g, whole, high, left, right, doc, tag, at, more, to_gram) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of equal runs all but the first are repeated. The first stays open where its gram has other runs that agree
+        on the side of the gram that a window holds half of at least."""
+        whole = whole.astype(np.uint64) | (high.astype(np.uint64) << C.U64(32))
+        order = np.lexsort((at, tag, doc, whole, g))
+        g, whole, left, right, doc, tag, at, more, to_gram = (x[order] for x in (g, whole, left, right, doc, tag, at, more, to_gram))
+        new = np.zeros(len(g), bool)
+        new[B.starts_of(g, whole)] = True
+        yield doc[~new], word_of(tag[~new], at[~new], more[~new], SETTLED)
+        g, left, right, doc, tag, at, more, to_gram = (x[new] for x in (g, left, right, doc, tag, at.astype(np.int64), more.astype(np.int64), to_gram.astype(np.int64)))
+        shared = []
+        for side in (left, right):
+            order = np.lexsort((side, g))
+            cuts = B.starts_of(g[order], side[order])
+            many = np.empty(len(g), bool)
+            many[order] = np.repeat(np.diff(np.r_[cuts, len(g)]) > 1, np.diff(np.r_[cuts, len(g)]))
+            shared.append(many)
+        # a window that starts `half` or more before the gram holds the left side, any other the right one
+        lo = np.where(shared[0], 0, np.maximum(0, to_gram - half + ((length - gram) % 2 == 1)))
+        hi = np.where(shared[1], more, np.minimum(more, to_gram - half))
+        open_ = (lo <= hi) & (shared[0] | shared[1])
+        yield doc[open_], word_of(tag[open_], (at + lo)[open_], (hi - lo)[open_], OPEN)
+
+    return settle
+
+
+def paired(open_texts: DataFrame, length: int) -> DataFrame:
+    """The open positions with the ranks of both halves of their window, named by hashes; copies in the batch settled."""
+    half, n = -(-length // 2), C.U64(B.count(open_texts))
+
+    def lots(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
+        lot, size = [], 0
         for doc, tag, text, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag")), C.as_bytes(batch.column("text")), batch.column("words").to_pylist(), strict=True):
             at, more, _ = fields(np.array(words, np.int64))
             s, e = C.merged(at, at + more + length)
-            data = np.frombuffer(text, np.uint8)
             for a, b in zip(s.tolist(), e.tolist(), strict=True):
-                for k in range(a, b - first + 1, C.STEP):
-                    some = data[k : min(b, k + C.STEP + first - 1)]
-                    left, right = (C.Rolling(v[some], w).every(first).view(np.int64) for w, v in enumerate(C.BYTE_VALUES))
-                    yield {"doc_id": np.full(len(left), doc), "at": np.arange(k, k + len(left)) | (tag << 48), "a": left, "b": right}
-
-    def joined(batch: pa.RecordBatch) -> Iterator[dict]:
-        held, n = [], 0
-        for out in step(batch):
-            held.append(out)
-            if (n := n + len(out["at"])) >= 1 << 16:
-                yield {c: np.concatenate([h[c] for h in held]) for c in out}
-                held, n = [], 0
-        if held:
-            yield {c: np.concatenate([h[c] for h in held]) for c in held[0]}
-
-    return C.mapped(open_texts, joined, "doc_id long, at long, a long, b long")
-
-
-def reranked(pairs: DataFrame, last: bool) -> DataFrame:
-    """Pairs sorted; positions with a pair of their own drop out, others get the rank of their pair. last: those not first of their pair."""
-    schema = "doc_id long, at long, rank long"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        base, seen = TaskContext.get().partitionId() << 40, 0
-        held, rank, n = None, 0, 0  # the last row so far waits for the next; n: how many of its pair came before
-        for batch in batches:
-            doc, at, a, b = (batch.column(c).to_numpy() for c in ("doc_id", "at", "a", "b"))
-            if not len(a):
-                continue
-            if held is not None:
-                doc, at, a, b = (np.r_[h, x] for h, x in zip(held, (doc, at, a, b), strict=True))
-            else:
-                rank, n = base, 0
-            new = np.r_[False, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-            ranks = np.where(np.cumsum(new) == 0, rank, base + seen + np.arange(len(a)))
-            ranks = ranks[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
-            first = new.copy()
-            first[0] = n == 0
-            alone = first & np.r_[new[1:], True]
-            keep = ~first if last else ~alone
-            keep[-1] = False
-            if keep.any():
-                yield C.record({"doc_id": doc[keep], "at": at[keep], "rank": ranks[keep]}, arrow)
-            run_start = np.flatnonzero(new)
-            n = len(a) - 1 - run_start[-1] if len(run_start) else n + len(a) - 1
-            held, rank = [x[-1:] for x in (doc, at, a, b)], int(ranks[-1])
-            seen += len(a)
-        if held is not None and n > 0:
-            yield C.record({"doc_id": held[0], "at": held[1], "rank": np.array([rank])}, arrow)
-
-    return pairs.repartition(C.partitions(pairs.sparkSession), "a", "b").sortWithinPartitions("a", "b", "doc_id", "at").mapInArrow(run, schema)
-
-
-def doubled(pairs: DataFrame, length: int) -> DataFrame:
-    """Positions (doc_id, at) among those given whose prefix of `length` also starts earlier among them."""
-    steps = offsets(length)
-    ranked = reranked(pairs, len(steps) == 1)
-    for k, h in enumerate(steps[1:], 2):
-        ahead = Window.partitionBy("doc_id").orderBy("at").rangeBetween(h, h)
-        pairs = ranked.select("doc_id", "at", F.col("rank").alias("a"), F.max("rank").over(ahead).alias("b")).where("b is not null")
-        ranked = reranked(pairs, k == len(steps))
-    return ranked
+                for k in range(a, b - length + 1, C.STEP):
+                    lot.append((doc, tag, k, text[k : min(b, k + C.STEP + length - 1)]))
+                    if (size := size + len(lot[-1][3])) >= C.STEP:
+                        yield lot
+                        lot, size = [], 0
+        if lot:
+            yield lot
+
+    def step(batch: pa.RecordBatch) -> Iterator[dict]:
+        for lot in lots(batch):
+            sizes = np.array([len(x[3]) for x in lot])
+            first = np.r_[0, np.cumsum(sizes)[:-1]]
+            data = np.frombuffer(b"".join(x[3] for x in lot), np.uint8)
+            at = C.ranges(first, sizes - length + 1)
+            part = np.repeat(np.arange(len(lot)), sizes - length + 1)
+            ranks = C.Rolling(C.BYTE_VALUES[0][data]), C.Rolling(C.BYTE_VALUES[1][data], 1)
+            left, right = ranks[0].spans(at, at + half), ranks[1].spans(at + length - half, at + length)
+            doc, tag, start = (np.array([x[k] for x in lot]) for k in range(3))
+            doc, tag, at = doc[part], tag[part], start[part] + at - first[part]
+            order = np.lexsort((at, tag, doc, right, left))
+            left, right, doc, tag, at = (x[order] for x in (left, right, doc, tag, at))
+            new = np.zeros(len(left), bool)
+            new[B.starts_of(left, right)] = True
+            if not new.all():
+                yield B.passing(doc[~new], word_of(tag[~new], at[~new], np.zeros((~new).sum(), np.int64), SETTLED))
+            left, right, doc, tag, at = (x[new] for x in (left, right, doc, tag, at))
+            low = C.U64(0xFFFFFFFF)
+            yield B.packed(((left >> C.U64(32)) % n).astype(np.int64), [left & low, right & low, right >> C.U64(48), doc, tag, at], _PAIRS, by=doc)
+
+    return C.mapped(open_texts, step, B.SCHEMA, 8 * C.STEP)
+
+
+def rerank(left, right, high, doc, tag, at) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rank pairs sorted: a pair of its own is unique; of equal pairs all but the first are repeated."""
+    order = np.lexsort((at, tag, doc, high, right, left))
+    left, right, high, doc, tag, at = (x[order] for x in (left, right, high, doc, tag, at))
+    again = np.ones(len(left), bool)
+    again[B.starts_of(left, right, high)] = False
+    yield doc[again], word_of(tag[again], at[again], np.zeros(again.sum(), np.int64), SETTLED)
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with kept: the rest of the text (binary) and the spans too."""
+    gram = min(length, max(gram, length - 255))
     keyed = C.keyed(docs)
-    marks = C.staged(B.resolved(anchored(keyed, length, min(gram, length)), _TYPES, settle), "runs")
+    marks = C.staged(B.resolved(anchored(keyed, length, gram), _TYPES, settling(length, gram)), "runs")
     open_ = B.by_document(marks.where(F.col("word").bitwiseAND(3) == OPEN))
-    pairs = first_ranks(keyed.join(open_, ["doc_id", "tag"]), length)
-    again = doubled(pairs, length).select("doc_id", (F.col("at").bitwiseAND(F.lit(~((1 << 48) - 1))).bitwiseOR(F.shiftleft(F.col("at").bitwiseAND(F.lit((1 << 48) - 1)), 14)).bitwiseOR(F.lit(SETTLED).cast("long"))).alias("word"))
+    again = B.resolved(paired(keyed.join(open_, ["doc_id", "tag"]), length), _PAIRS, rerank)
     found = B.by_document(marks.where(F.col("word").bitwiseAND(3) == SETTLED).union(again))
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
