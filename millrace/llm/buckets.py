@@ -79,3 +79,15 @@ def starts_of(*keys: np.ndarray) -> np.ndarray:
     for k in keys:
         new[1:] |= k[1:] != k[:-1]
     return np.flatnonzero(new)
+
+
+def repeats(keys: tuple[np.ndarray, ...], place: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by keys, then place: the first of each key; those after it at another place."""
+    cuts = starts_of(*keys)
+    head = np.repeat(cuts, np.diff(np.r_[cuts, len(keys[0])]))
+    first = np.zeros(len(head), bool)
+    first[cuts] = True
+    same = np.ones(len(head), bool)
+    for c in place:
+        same &= c == c[head]
+    return first, ~same

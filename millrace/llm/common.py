@@ -48,19 +48,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """doc_id, tag, text: the only columns the operators read, whatever else docs holds.
 
-    tag tells apart rows that repeat a doc_id with other text. A null text is empty.
+    tag tells apart rows that repeat a doc_id with other text. A null text is empty. carry: columns to
+    take along, in a struct of that name.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     return docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.xxhash64(text).bitwiseAND(F.lit(0x7FFF)).cast("int").alias("tag"),
         text.alias("text"),
+        *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry")] if carry else []),
     )
 
 
+def carried(schema: str, frame: DataFrame) -> str:
+    """A schema, with the struct of the columns taken along if the frame has one."""
+    return f"{schema}, carry {frame.schema['carry'].dataType.simpleString()}" if "carry" in frame.columns else schema
+
+
+def taken(batch: pa.RecordBatch) -> dict:
+    return {"carry": batch.column("carry")} if "carry" in batch.schema.names else {}
+
+
 # ---------------------------------------------------------------- batches
 
 

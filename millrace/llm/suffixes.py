@@ -111,9 +111,7 @@ def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
         doc, tag = ids[doc], tags[doc]
         order = np.lexsort((at, tag, doc, whole, g))
         g, whole, left, right, doc, tag, at, more, to_gram = (x[order] for x in (g, whole, left, right, doc, tag, at, more, to_gram))
-        first = np.zeros(len(g), bool)
-        first[B.starts_of(g, whole)] = True
-        rest = ~first  # copies within the batch are settled before the shuffle
+        first, rest = B.repeats((g, whole), (doc, tag, at))  # copies within the batch are settled before the shuffle
         if rest.any():
             yield B.passing(doc[rest], word_of(tag[rest], at[rest], more[rest], SETTLED))
         if first.any():
@@ -133,9 +131,8 @@ def settling(length: int, gram: int):
         whole = whole.astype(np.uint64) | (high.astype(np.uint64) << C.U64(32))
         order = np.lexsort((at, tag, doc, whole, g))
         g, whole, left, right, doc, tag, at, more, to_gram = (x[order] for x in (g, whole, left, right, doc, tag, at, more, to_gram))
-        new = np.zeros(len(g), bool)
-        new[B.starts_of(g, whole)] = True
-        yield doc[~new], word_of(tag[~new], at[~new], more[~new], SETTLED)
+        new, rest = B.repeats((g, whole), (doc, tag, at))
+        yield doc[rest], word_of(tag[rest], at[rest], more[rest], SETTLED)
         g, left, right, doc, tag, at, more, to_gram = (x[new] for x in (g, left, right, doc, tag, at.astype(np.int64), more.astype(np.int64), to_gram.astype(np.int64)))
         shared = []
         for side in (left, right):
@@ -184,10 +181,9 @@ def paired(open_texts: DataFrame, length: int) -> DataFrame:
             doc, tag, at = doc[part], tag[part], start[part] + at - first[part]
             order = np.lexsort((at, tag, doc, right, left))
             left, right, doc, tag, at = (x[order] for x in (left, right, doc, tag, at))
-            new = np.zeros(len(left), bool)
-            new[B.starts_of(left, right)] = True
-            if not new.all():
-                yield B.passing(doc[~new], word_of(tag[~new], at[~new], np.zeros((~new).sum(), np.int64), SETTLED))
+            new, rest = B.repeats((left, right), (doc, tag, at))
+            if rest.any():
+                yield B.passing(doc[rest], word_of(tag[rest], at[rest], np.zeros(rest.sum(), np.int64), SETTLED))
             left, right, doc, tag, at = (x[new] for x in (left, right, doc, tag, at))
             low = C.U64(0xFFFFFFFF)
             yield B.packed(((left >> C.U64(32)) % n).astype(np.int64), [left & low, right & low, right >> C.U64(48), doc, tag, at], _PAIRS, by=doc)
@@ -199,8 +195,7 @@ def rerank(left, right, high, doc, tag, at) -> Iterator[tuple[np.ndarray, np.nda
     """Rank pairs sorted: a pair of its own is unique; of equal pairs all but the first are repeated."""
     order = np.lexsort((at, tag, doc, high, right, left))
     left, right, high, doc, tag, at = (x[order] for x in (left, right, high, doc, tag, at))
-    again = np.ones(len(left), bool)
-    again[B.starts_of(left, right, high)] = False
+    _, again = B.repeats((left, right, high), (doc, tag, at))
     yield doc[again], word_of(tag[again], at[again], np.zeros(again.sum(), np.int64), SETTLED)
 
 
