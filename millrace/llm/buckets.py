@@ -30,7 +30,12 @@ def packed(bucket: np.ndarray, columns: list[np.ndarray], types: tuple[str, ...]
     bucket, columns = bucket[order], [c[order].astype(t) for c, t in zip(columns, types, strict=True)]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
     ends = [*cuts[1:].tolist(), len(bucket)]
-    return {"bucket": bucket[cuts].astype(np.int32), "payload": [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cuts.tolist(), ends, strict=False)]}
+    return {"bucket": bucket[cuts].astype(np.int32), "payload": [b"".join(planes(c[a:b]) for c in columns) for a, b in zip(cuts.tolist(), ends, strict=False)]}
+
+
+def planes(column: np.ndarray) -> bytes:
+    """First bytes of all numbers, then second bytes and so on: small and sorted numbers compress better so."""
+    return column.view(np.uint8).reshape(len(column), -1).T.tobytes()
 
 
 def passing(doc: np.ndarray, word: np.ndarray) -> dict:
@@ -44,7 +49,7 @@ def unpacked(payloads: list[bytes], types: tuple[str, ...]) -> list[np.ndarray]:
     for p in payloads:
         n, at = len(p) // width, 0
         for k, own in zip(kinds, parts, strict=True):
-            own.append(np.frombuffer(p, k, n, at))
+            own.append(np.ascontiguousarray(np.frombuffer(p, np.uint8, n * k.itemsize, at).reshape(k.itemsize, n).T).view(k).ravel())
             at += n * k.itemsize
     return [np.concatenate(own) for own in parts]
 
