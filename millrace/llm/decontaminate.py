@@ -90,13 +90,14 @@ def blocks(benchmark: DataFrame) -> list[list[tuple[str | None, bytes]]] | Itera
         yield [(r.item, r.text.encode()) for r in own.toLocalIterator()]
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, kept: bool = False) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted strings), starts and ends of the removal spans (in words); with kept: and the rest of the text.
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, kept: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_words, n_hit, items (sorted strings), starts and ends of the removal spans (in words); with kept: and the rest
+    of the text; carry: columns of docs to take along.
 
     One narrow pass per benchmark block (one block up to 32 MB of test text), without a shuffle.
     """
     sc = docs.sparkSession.sparkContext
-    frame = C.keyed(docs).drop("tag").withColumns({"items": F.array().cast("array<string>"), "starts": F.array().cast("array<long>"), "ends": F.array().cast("array<long>")})
+    frame = C.keyed(docs, carry=carry).drop("tag").withColumns({"items": F.array().cast("array<string>"), "starts": F.array().cast("array<long>"), "ends": F.array().cast("array<long>")})
     for items in blocks(benchmark):
         shared = sc.broadcast(Phrases(items, window))
 
@@ -119,9 +120,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 out["starts"].append(own_s)
                 out["ends"].append(own_e)
                 out["items"].append(sorted(found.get(k, set()).union(before[2][k])))
-            yield out | {"doc_id": batch.column("doc_id"), "text": batch.column("text")}
+            yield out | {"doc_id": batch.column("doc_id"), "text": batch.column("text")} | C.taken(batch)
 
-        frame = C.mapped(frame, step, "doc_id long, text string, items array<string>, starts array<long>, ends array<long>")
+        frame = C.mapped(frame, step, C.carried("doc_id long, text string, items array<string>, starts array<long>, ends array<long>", frame))
 
     def last(batch: pa.RecordBatch) -> Iterator[dict]:
         texts = C.as_bytes(batch.column("text"))
@@ -131,9 +132,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         out["n_hit"] = [sum(e) - sum(s) for s, e in zip(starts, ends, strict=True)]
         if kept:
             out["text"] = [without(t, s, e).decode() if s else t.decode() for t, s, e in zip(texts, starts, ends, strict=True)]
-        yield out
+        yield out | C.taken(batch)
 
-    return C.mapped(frame, last, "doc_id long, n_words long, n_hit long, items array<string>, starts array<long>, ends array<long>" + ", text string" * kept)
+    return C.mapped(frame, last, C.carried("doc_id long, n_words long, n_hit long, items array<string>, starts array<long>, ends array<long>" + ", text string" * kept, frame))
 
 
 def without(text: bytes, starts: list[int], ends: list[int]) -> bytes:
