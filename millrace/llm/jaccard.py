@@ -159,11 +159,12 @@ def counted(pairs: DataFrame, docs: DataFrame, columns, n: int, percent: int) ->
         yield {"doc_id": batch.column("doc_id"), "columns": [columns.value.of(ngrams(t, n, cache)).view(np.int64) for t in C.as_bytes(batch.column("text"))]}
 
     nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = C.mapped(docs.join(nodes, "doc_id", "left_semi"), step, "doc_id long, columns array<long>")
+    # merge joins at every size: sides that happen to be small today are no reason for another plan
+    sets = C.mapped(docs.join(nodes.hint("merge"), "doc_id", "left_semi"), step, "doc_id long, columns array<long>")
     overlap = F.size(F.array_intersect("x", "y"))
     return (
-        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("columns").alias("x")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("columns").alias("y")), "b")
+        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("columns").alias("x")).hint("merge"), "a")
+        .join(sets.select(F.col("doc_id").alias("b"), F.col("columns").alias("y")).hint("merge"), "b")
         .where((100 + percent) * overlap >= percent * (F.size("x") + F.size("y")))
         .select("a", "b")
         .distinct()
