@@ -27,11 +27,11 @@ def header_scores(grid: DataFrame, head: int = HEAD) -> DataFrame:
     text = F.size(F.filter(own, lambda x: x["kind"] == "s"))
     n = F.size(own)
     rows = grid.where(F.col("row_idx") < head).select(
-        *_FILE, "row_idx", n.alias("n"), F.size("cells").alias("width"), (text / n).alias("textual"), F.size(F.array_distinct(F.transform(own, lambda x: strip(x["s"])))).alias("distinct")
+        *_FILE, "row_idx", n.alias("n"), F.size("cells").alias("width"), F.try_divide(text, n).alias("textual"), F.size(F.array_distinct(F.transform(own, lambda x: strip(x["s"])))).alias("distinct")
     )
     order = Window.partitionBy(*_FILE).orderBy("row_idx")
     bonus = sum((F.when((F.lead("n", k).over(order) > 0) & (F.lead("textual", k).over(order) < 0.85), 10.0).otherwise(0.0) for k in (1, 2)), F.lit(0.0))
-    score = F.when(F.col("n") < 2, 0.0).otherwise(30.0 * F.col("n") / F.col("width") + 35.0 * F.col("textual") + 25.0 * F.col("distinct") / F.col("n") + bonus)
+    score = F.when(F.col("n") < 2, 0.0).otherwise(30.0 * F.try_divide(F.col("n"), F.col("width")) + 35.0 * F.col("textual") + 25.0 * F.try_divide(F.col("distinct"), F.col("n")) + bonus)
     return rows.select(*_FILE, "row_idx", F.col("n").alias("filled"), score.alias("score"))
 
 
