@@ -283,7 +283,7 @@ sc AS (SELECT *, CASE WHEN n < 2 THEN 0.0 ELSE 30.0 * n / width + 35.0 * textual
   FROM n WINDOW w AS (PARTITION BY source_path, sheet ORDER BY row_idx))"""
 
 
-@query(f"WITH {_SCORES} SELECT source_path, sheet, row_idx, score FROM sc")
+@query(f"WITH {_SCORES} SELECT source_path, sheet, row_idx::bigint AS row_idx, score FROM sc")
 def header_score(spark, sf_dir):
     """S6"""
     return header.header_scores(_grid(spark)).select("source_path", "sheet", "row_idx", "score")
