@@ -120,17 +120,22 @@ def test_shrinkage(spark):
     assert abs(overall - sum(p for *_, p in rows) / len(rows)) < 1e-9
 
 
-def test_pipeline(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = docs.count()
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k < len(corpus_pipeline.STAGES) - 1:
-            assert out.columns == docs.columns, name
-            n = out.count()
-            assert 0 < n <= before
-            before, docs = n, out
-    assert corpus_pipeline.run(spark, sf_dir).count() == before
+def test_pipeline(spark, sf_dir, monkeypatch):
+    """run() hands each stage's table to the next one; all but the last keep the columns of documents and drop rows only."""
+    seen = []
+
+    def noted(name, stage):
+        def call(spark, docs, sf_dir):
+            seen.append((name, docs.columns, docs.count()))
+            return stage(spark, docs, sf_dir)
+
+        return name, call
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [noted(*s) for s in corpus_pipeline.STAGES])
+    n = corpus_pipeline.run(spark, sf_dir).count()
+    assert [c for _, c, _ in seen] == [["doc_id", "text", "lang", "source", "n_chars"]] * 5
+    counts = [k for *_, k in seen] + [n]
+    assert counts == sorted(counts, reverse=True) and n > 0.5 * counts[0]
 
 
 def test_stages_on_odd_rows(spark, sf_dir):
