@@ -43,11 +43,17 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again; cuts the lineage."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes what this application has staged; for after the results are written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """doc_id, tag, text: the only columns the operators read, whatever else docs holds.
 

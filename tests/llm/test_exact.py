@@ -259,3 +259,10 @@ def test_empty_tables(spark):
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_query_against_sql(name, same):
     same(queries.queries()[name], queries.oracle_sql()[name])
+
+
+def test_staged_tables_can_be_cleared(spark):
+    at = common.staged(spark.range(3), "some")
+    assert at.count() == 3
+    common.clear(spark)
+    assert not at.inputFiles() or not any(__import__("os").path.exists(f.removeprefix("file://")) for f in at.inputFiles())
