@@ -62,11 +62,10 @@ def parse_number_vn(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", numbers.parse_number(_grouped(_cents("o_totalprice"), ".", ",")).alias("value"))
 
 
-@query("SELECT c_custkey, -(abs(cast(round(c_acctbal * 100) as bigint)) / 100.0::double) AS value FROM customer WHERE c_acctbal <> 0")
+@query("SELECT c_custkey, -(abs(cast(round(c_acctbal * 100) as bigint)) / 100.0::double) AS value FROM customer")
 def parse_number_paren(spark, sf_dir):
     """(1,234.56)"""
-    c = _t(spark, sf_dir, "customer").where("c_acctbal <> 0")
-    return c.select("c_custkey", numbers.parse_number(F.concat(F.lit("("), _grouped(_cents("c_acctbal"), ",", "."), F.lit(")"))).alias("value"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", numbers.parse_number(F.concat(F.lit("("), _grouped(_cents("c_acctbal"), ",", "."), F.lit(")"))).alias("value"))
 
 
 @query("SELECT o_orderkey, cast(trunc(o_totalprice) as bigint)::double AS value FROM orders")
@@ -120,12 +119,12 @@ def excel_serial(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", dates.excel_date(days).alias("parsed"))
 
 
-@query("""SELECT o_orderkey, strptime(strftime(o_orderdate, '%d/%m/') || CASE WHEN y >= 69 THEN '19' ELSE '20' END || lpad(cast(y as varchar), 2, '0'), '%d/%m/%Y') AS parsed
-FROM (SELECT o_orderkey, o_orderdate, (o_orderkey * 7) % 100 AS y FROM orders) WHERE strftime(o_orderdate, '%d/%m') <> '29/02'""")
+@query("""SELECT o_orderkey, try_strptime(strftime(o_orderdate, '%d/%m/') || CASE WHEN y >= 69 THEN '19' ELSE '20' END || lpad(cast(y as varchar), 2, '0'), '%d/%m/%Y') AS parsed
+FROM (SELECT o_orderkey, o_orderdate, (o_orderkey * 7) % 100 AS y FROM orders)""")
 def two_digit_year(spark, sf_dir):
     """69 to 99 are 19xx"""
     s = F.concat(F.date_format("o_orderdate", "dd/MM/"), F.lpad(((F.col("o_orderkey") * 7) % 100).cast("string"), 2, "0"))
-    return _t(spark, sf_dir, "orders").where(F.date_format("o_orderdate", "dd/MM") != "29/02").select("o_orderkey", dates.parse_date(s).alias("parsed"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", dates.parse_date(s).alias("parsed"))
 
 
 @query("SELECT o_orderkey, cast(NULL as timestamp) AS parsed FROM orders")
@@ -240,15 +239,16 @@ def extra_columns(spark, sf_dir):
 
 @query("""SELECT * FROM (VALUES ('c_acctbal', 'number'), ('c_email', 'email'), ('c_mktsegment', 'code'), ('c_name', 'code'), ('c_phone', 'phone'), ('c_price', 'money'), ('o_date', 'date'), ('o_note', 'text')) AS v(name, inferred)""")
 def infer_type_per_column(spark, sf_dir):
-    """T1, T2, S15 over the first twenty customers"""
-    c = _t(spark, sf_dir, "customer").where("c_custkey <= 20")
+    """Types from the first twenty values of each column"""
+    c = _t(spark, sf_dir, "customer")
     key = F.col("c_custkey").cast("string")
     cols = {
         "c_acctbal": F.concat(F.regexp_replace(F.col("c_acctbal").cast("decimal(12,2)").cast("string"), r"\.", ","), F.lit(",0")), "c_email": F.concat(F.lit("u"), key, F.lit("@example.com")), "c_mktsegment": F.col("c_mktsegment"), "c_name": F.regexp_replace("c_name", "#", "-"),
         "c_phone": F.concat(F.lit("+84 91 "), F.lpad(key, 7, "8")), "c_price": F.concat(key, F.lit(",000 ₫")), "o_date": F.concat(F.lit("1999-01-"), F.lpad(key, 2, "0")), "o_note": F.concat(F.lit("note no "), key),
     }
-    rows = c.select(F.col("c_custkey").alias("row_idx"), F.explode(F.create_map(*[x for n, v in cols.items() for x in (F.lit(n), v)])).alias("name", "value"))
-    return infer.infer_types(rows, ["name"])
+    values = F.create_map(*[x for n, v in cols.items() for x in (F.lit(n), v)])
+    recs = c.select(F.lit("f").alias("source_path"), F.lit("s").alias("sheet"), F.col("c_custkey").alias("row_idx"), values.alias("values"))
+    return infer.infer_types(header.samples(recs), ["name"])
 
 
 @query("""SELECT event_type, event_id, value FROM (SELECT event_type, event_id, cast(cast(event_id * 3 as bigint) as varchar) AS value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events WHERE event_id % 4 <> 0) WHERE n <= 20""")
