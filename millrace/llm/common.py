@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one vectorized step handles; bounds a worker's memory.
 STEP = 1 << 20
@@ -69,9 +70,10 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     )
 
 
-def carried(schema: str, frame: DataFrame) -> str:
+def carried(schema: str, frame: DataFrame) -> StructType:
     """A schema, with the struct of the columns taken along if the frame has one."""
-    return f"{schema}, carry {frame.schema['carry'].dataType.simpleString()}" if "carry" in frame.columns else schema
+    kind = StructType.fromDDL(schema)
+    return kind.add("carry", frame.schema["carry"].dataType) if "carry" in frame.columns else kind
 
 
 def taken(batch: pa.RecordBatch) -> dict:
@@ -81,7 +83,7 @@ def taken(batch: pa.RecordBatch) -> dict:
 # ---------------------------------------------------------------- batches
 
 
-def mapped(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, limit: int = 4 * STEP) -> DataFrame:
+def mapped(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[dict]], schema: str | StructType, limit: int = 4 * STEP) -> DataFrame:
     """step over pieces of at most `limit` bytes of text (or one row); it yields dicts of columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,14 +93,19 @@ def mapped(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[dict]], sche
                     yield record(out, arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-    return df.mapInArrow(run, schema)
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
+    return df.mapInArrow(run, kind)
 
 
 def record(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) and c.type == f.type else pa.array(c, f.type) for f in schema], schema=schema)
+    def of(c, kind: pa.DataType) -> pa.Array:
+        if isinstance(c, pa.Array):
+            return c if c.type == kind else c.cast(kind)  # columns taken along may differ in zone or nullability
+        return pa.array(c, kind)
+
+    return pa.RecordBatch.from_arrays([of(columns[f.name], f.type) for f in schema], schema=schema)
 
 
 def pieces(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:

@@ -145,3 +145,11 @@ def test_stages_on_odd_rows(spark, sf_dir):
     assert corpus_pipeline.distinct_lines(spark, docs, sf_dir).count() == 5
     assert corpus_pipeline.clean_of_benchmarks(spark, docs, sf_dir).count() == 5
     assert corpus_pipeline.good_documents(spark, docs, sf_dir).columns == docs.columns
+
+
+def test_stages_take_any_columns_along(spark, sf_dir):
+    docs = spark.range(3).selectExpr("id as doc_id", "'one two three' as text", "timestamp'2000-01-01' as at", "array(id) as list", "map('k', id) as m", "cast(id as decimal(9,2)) as `odd name`", "cast(null as string) as lang", "'s' as source", "'x' as tag", "1 as n_hit")
+    for stage in (corpus_pipeline.distinct_lines, corpus_pipeline.clean_of_benchmarks, corpus_pipeline.good_documents):
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        assert {r["odd name"] for r in out.collect()} == {r["odd name"] for r in docs.collect()}
