@@ -104,15 +104,19 @@ def choose(counts: DataFrame, head: str, total: int, bad: int) -> list[int]:
     return [r.feature for r in rows]
 
 
-def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 2.0) -> np.ndarray:
-    """Logistic regression by Newton steps; the first column, all ones, is not shrunk."""
-    w = np.zeros(x.shape[1])
+def fitted(dense: np.ndarray, present: np.ndarray, y: np.ndarray, ridge: float = 2.0, block: int = 1000) -> np.ndarray:
+    """Logistic regression by Newton steps, summed over blocks of rows; the intercept, first, is not shrunk."""
+    w = np.zeros(1 + dense.shape[1] + present.shape[1])
     shrink = np.full(len(w), ridge)
     shrink[0] = 1e-6
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        s = np.maximum(p * (1 - p), 1e-6)
-        move = np.linalg.solve((x * s[:, None]).T @ x + np.diag(shrink), x.T @ (y - p) - shrink * w)
+        gradient, curve = -shrink * w, np.diag(shrink)
+        for a in range(0, len(y), block):
+            x = np.concatenate([np.ones((len(y[a : a + block]), 1)), dense[a : a + block], present[a : a + block]], axis=1)
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            gradient += x.T @ (y[a : a + block] - p)
+            curve += (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x
+        move = np.linalg.solve(curve, gradient)
         w += move
         if np.abs(move).max() < 1e-4:
             break
@@ -160,17 +164,16 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model | None:
         yield {"style": [style(t, w) for t, w in words], "own": [finder.of(set(w)) for _, w in words]} | {h: batch.column(h) for h in _HEADS}
 
     rows = C.mapped(sample, step, "style array<double>, own array<int>, junk long, toxic long").toArrow()
-    dense = np.array(rows["style"].to_pylist())
+    dense = rows["style"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
     center, scale = dense.mean(axis=0), dense.std(axis=0) + 1e-9
     dense = np.clip((dense - center) / scale, -6, 6)
-    present = np.zeros((len(dense), len(ids)), np.float32)
-    for i, own in enumerate(rows["own"].to_pylist()):
-        present[i, own] = 1
+    own = rows["own"].combine_chunks()
+    present = np.zeros((len(dense), len(ids)), bool)
+    present[np.repeat(np.arange(len(dense)), own.value_lengths().to_numpy()), own.flatten().to_numpy()] = True
     weights = []
     for h, c in zip(_HEADS, chosen, strict=True):
-        x = np.concatenate([np.ones((len(dense), 1)), dense, present[:, [ids[f] for f in c]]], axis=1)
         y = rows[h].to_numpy().astype(float)
-        weights.append(fitted(x, y) if 0 < y.sum() < len(y) else np.r_[-30.0, np.zeros(x.shape[1] - 1)])
+        weights.append(fitted(dense, present[:, [ids[f] for f in c]], y) if 0 < y.sum() < len(y) else np.r_[-30.0, np.zeros(dense.shape[1] + len(c))])
     return Model(chosen, center, scale, weights)
 
 
