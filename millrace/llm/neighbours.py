@@ -68,7 +68,8 @@ class Curves:
         rng = np.random.default_rng(seed)
         self.center = sample.mean(axis=0)
         axes = min(AXES, sample.shape[1])
-        self.axes = np.linalg.svd(sample - self.center, full_matrices=True)[2][:axes].T
+        own = sample - self.center
+        self.axes = np.linalg.eigh(own.T @ own)[1][:, ::-1][:, :axes]  # the principal ones, orthonormal for any sample
         own = self.project(sample)
         self.turns, self.low, self.width = [], [], []
         for c in range(curves):
