@@ -83,7 +83,7 @@ def fetched(found: DataFrame, period: int) -> DataFrame:
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         rows = sorted(zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), C.as_bytes(batch.column("text")), batch.column("words").to_pylist(), strict=True), key=lambda r: r[:2])
-        seen, out = set(), []
+        seen, out, last = set(), [], None
         for doc, tag, text, words in rows:
             lines, spans = chunks(text, period)
             for k in sorted({w & ((1 << 48) - 1) for w in words}):
@@ -125,8 +125,9 @@ def deduped(docs: DataFrame, period: int = PERIOD, kept: bool = False, carry: li
     """doc_id, n_lines, n_removed, kept_sha256; with kept: the rest of the text too; carry: columns of docs to take along."""
     keyed = C.keyed(docs)
     marks = C.staged(B.resolved(shared(keyed, period), _CHUNKS, twice), "chunks")
-    rows = C.staged(fetched(keyed.join(B.by_document(marks), ["doc_id", "tag"]), period), "fetched")
-    found = B.by_document(compared(rows))
+    # merge joins at every size: sides that happen to be small today are no reason for another plan
+    rows = C.staged(fetched(keyed.join(B.by_document(marks).hint("merge"), ["doc_id", "tag"]), period), "fetched")
+    found = B.by_document(compared(rows)).hint("merge")
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         out = {n: [] for n in ("n_lines", "n_removed", "kept_sha256", "text")}

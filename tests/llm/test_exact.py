@@ -220,7 +220,7 @@ def test_bpe_of_odd_texts():
 
 def test_lines(spark):
     block = "first line\nsecond line\nthird\nfourth one\nfifth"
-    rows = [(1, f"{block}\nown"), (2, f"x\n{block}"), (3, block), (3, block), (4, None), (5, ""), (6, "\n\n\n\n"), (7, "\n\n\n\n"), (8, f"{block}\n{block}"), (None, block), (9, "solo")]
+    rows = [(1, f"{block}\nown"), (2, f"x\n{block}"), (3, block), (3, block), (4, None), (5, ""), (6, "\n\n\n\n"), (7, "\n\n\n\n"), (-1, f"{block}\n{block}\n{block}"), (8, f"{block}\n{block}"), (None, block), (9, "solo")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     seen, want = {}, {}
     for d, t in sorted({r for r in rows if r[0] is not None}):
