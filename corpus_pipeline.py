@@ -33,7 +33,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup (7): chunks of lines that stand in an earlier document go."""
-    return _rewritten(docs, linechunks.deduped(docs, kept=True, carry=_others(docs) or None), "n_removed")
+    return _rewritten(docs, linechunks.deduped(docs, kept=True, carry=_others(docs) or None, joined=True), "n_removed")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,10 @@ A rolling hash over the hashes of two neighbouring lines says where a chunk ends
 moves only the boundaries beside it. Chunks of two lines or more whose hash is found twice are fetched and
 compared byte by byte; all but the first of equal chunks (smallest doc_id, then place) are removed.
 
+A chunk of one line is never looked up by itself. With joined, as the pipeline has it, chunks with such lines joined
+to their neighbours are looked up besides, so a copy of a whole document of two lines or more loses every line. The
+query keeps to single chunks, as OP7_SQL does.
+
 Lines end at "\\n". Null and empty texts have no lines. A chunk of white space only is never removed. A row with a
 null doc_id takes no part and keeps all. Rows that repeat doc_id and text are one document, each returned; with
 other text they are parts of it, in the order of a tag of their text. Other columns aren't read.
@@ -40,14 +44,29 @@ def chunks(text: bytes, period: int) -> tuple[list[bytes], list[tuple[int, int]]
     return lines, list(zip([0, *ends], ends, strict=False))
 
 
-def shared(keyed: DataFrame, period: int) -> DataFrame:
+def spans_of(text: bytes, period: int, joined: bool) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """chunks(); with joined: by place, those too in which a line alone is joined to the chunk after it, or else before."""
+    lines, spans = chunks(text, period)
+    if not joined or not spans:
+        return lines, spans
+    wide, start = [], 0
+    for _, end in spans:
+        if end - start > 1:
+            wide.append((start, end))
+            start = end
+    if wide and start < len(lines):
+        wide[-1] = wide[-1][0], len(lines)
+    return lines, sorted({*spans, *wide})
+
+
+def shared(keyed: DataFrame, period: int, joined: bool) -> DataFrame:
     """Marks of chunks whose hash occurs twice."""
     n = C.U64(B.count(keyed))
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         key, doc, tag, at = [], [], [], []
         for d, t, text in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), C.as_bytes(batch.column("text")), strict=True):
-            lines, spans = chunks(text, period)
+            lines, spans = spans_of(text, period, joined)
             for k, (a, b) in enumerate(spans):
                 if b - a > 1 and (whole := b"\n".join(lines[a:b])).strip():
                     key.append(xxhash.xxh3_64_intdigest(whole))
@@ -78,14 +97,14 @@ def twice(key, doc, tag, at) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     yield doc[many], (tag[many].astype(np.int64) << 48) | at[many]
 
 
-def fetched(found: DataFrame, period: int) -> DataFrame:
+def fetched(found: DataFrame, period: int, joined: bool) -> DataFrame:
     """Bytes of the marked chunks; chunk null: a copy of an earlier one in the batch, which needs no comparison."""
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         rows = sorted(zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), C.as_bytes(batch.column("text")), batch.column("words").to_pylist(), strict=True), key=lambda r: r[:2])
         seen, out, last = set(), [], None
         for doc, tag, text, words in rows:
-            lines, spans = chunks(text, period)
+            lines, spans = spans_of(text, period, joined)
             for k in sorted({w & ((1 << 48) - 1) for w in words}):
                 whole = b"\n".join(lines[slice(*spans[k])])
                 key = xxhash.xxh3_64_intdigest(whole)
@@ -121,22 +140,23 @@ def compared(rows: DataFrame) -> DataFrame:
     return alone.union(rows.where("chunk is null").select("doc_id", "word"))
 
 
-def deduped(docs: DataFrame, period: int = PERIOD, kept: bool = False, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_sha256; with kept: the rest of the text too; carry: columns of docs to take along."""
+def deduped(docs: DataFrame, period: int = PERIOD, kept: bool = False, carry: list[str] | None = None, joined: bool = False) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_sha256; with kept: the rest of the text too; carry: columns of docs to take along; joined: see above."""
     keyed = C.keyed(docs)
-    marks = C.staged(B.resolved(shared(keyed, period), _CHUNKS, twice), "chunks")
+    marks = C.staged(B.resolved(shared(keyed, period, joined), _CHUNKS, twice), "chunks")
     # merge joins at every size: sides that happen to be small today are no reason for another plan
-    rows = C.staged(fetched(keyed.join(B.by_document(marks).hint("merge"), ["doc_id", "tag"]), period), "fetched")
+    rows = C.staged(fetched(keyed.join(B.by_document(marks).hint("merge"), ["doc_id", "tag"]), period, joined), "fetched")
     found = B.by_document(compared(rows)).hint("merge")
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         out = {n: [] for n in ("n_lines", "n_removed", "kept_sha256", "text")}
         for text, words in zip(C.as_bytes(batch.column("text")), batch.column("words").to_pylist(), strict=True):
             gone = {w & ((1 << 48) - 1) for w in words or ()}
-            lines, spans = chunks(text, period) if gone else (text.split(b"\n") if text else [], [])
-            rest = [x for k, (a, b) in enumerate(spans) if k not in gone for x in lines[a:b]] if gone else lines
-            joined = b"\n".join(rest)
-            for n, v in zip(out, (len(lines), len(lines) - len(rest), hashlib.sha256(joined).hexdigest(), joined.decode()), strict=True):
+            lines, spans = spans_of(text, period, joined) if gone else (text.split(b"\n") if text else [], [])
+            cut = {i for k in gone for i in range(*spans[k])}
+            rest = [x for i, x in enumerate(lines) if i not in cut] if gone else lines
+            whole = b"\n".join(rest)
+            for n, v in zip(out, (len(lines), len(lines) - len(rest), hashlib.sha256(whole).hexdigest(), whole.decode()), strict=True):
                 out[n].append(v)
         yield out | {"doc_id": batch.column("doc_id")} | C.taken(batch)
 

@@ -238,6 +238,22 @@ def test_lines(spark):
     assert got == want and sum(v[1] for v in want.values()) > 0
 
 
+def test_copies_lose_every_line(spark):
+    """With joined, no line of an exact copy stays, one removed by single chunks stays removed, and one copy is kept."""
+    import corpus_pipeline
+
+    texts = [f"line {i} of a text\n" * (i % 2 + 1) + "\n".join(f"{prose(4)} {i} {k}" for k in range(2 + i)) for i in range(40)]
+    assert any(b - a == 1 for t in texts for a, b in linechunks.chunks(t.encode(), linechunks.PERIOD)[1])
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(texts)] + [(200 + i, f"new {i}\n{t}\nend {i}") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    single, got = collected(linechunks.deduped(df), "n_removed"), collected(linechunks.deduped(df, kept=True, joined=True), "n_lines", "n_removed", "text")
+    for i, t in enumerate(texts):
+        assert got[100 + i] == (t.count("\n") + 1, t.count("\n") + 1, "")
+    assert all(got[d][1] >= n for d, (n,) in single.items())
+    assert {x for _, t in rows for x in t.split("\n")} == {x for _, _, t in got.values() for x in t.split("\n") if x}
+    assert not [r.doc_id for r in corpus_pipeline.distinct_lines(spark, df, "").collect() if 100 <= r.doc_id < 200]
+
+
 def test_licenses(spark):
     rows = [(1, "x MIT License, mit\nlicense"), (2, "Released under the MIT License."), (3, "released under the license"), (4, None), (5, "general public\n\nlicense apache license"), (6, "© Licensed under the Apache License, Version 2.0!"), (7, licenses.TEMPLATES[-1][2].upper()), (7, "")]
     got = [(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
