@@ -75,6 +75,22 @@ CASES = {
 }
 
 
+#: Quotes that open no value are characters of their tag and swallow no text.
+QUOTES = {
+    '<p>one <a href="x"">two</a> three <a href="y"">four</a>': "one two three four",
+    "<p title=don't>six</p><p>it's > seven</p>": "six\n\nit's > seven",
+    "<p title='a > b' id = \"c > d\">x<p a='\"' b>y": "x\n\ny",
+    "<p a=b='c>d</p>'": "d\n\n'",
+    "<p \"hidden\">shown<p title=x' hidden>no": "shown",
+    "<p>a<b title=\"open>b": "ab",
+}
+
+
+@pytest.mark.parametrize("source", list(QUOTES))
+def test_quotes_in_tags(source):
+    assert html.render(source) == QUOTES[source]
+
+
 @pytest.mark.parametrize("source", list(CASES))
 def test_html(source):
     assert html.render(source) == CASES[source]
