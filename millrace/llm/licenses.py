@@ -6,7 +6,8 @@ c = ceil(t * |T|) of a template's tokens holds one of its first |T| - c + 1 (pre
 left is counted exactly. A phrase is a template with containment 1 of which the words must stand consecutively:
 its prefix is its rarest word, and each place of that word is verified.
 
-Blocks are lines for short notices and paragraphs (apart by blank lines) for license texts. Words are runs of
+Blocks are lines, and runs of two or three lines of a paragraph, for short notices, which may be hard-wrapped, and
+paragraphs (apart by blank lines) for license texts; OP1_SQL has single lines only. Words are runs of
 0-9, a-z and bytes above 0x7F after lower-casing A-Z. Null and empty texts hold nothing. Rows that repeat a
 doc_id are each scanned, null ids too; other columns aren't read. Nothing is shuffled but token counts.
 """
@@ -41,6 +42,8 @@ TEMPLATES = (
 THRESHOLD = 0.85
 #: Tokens of templates in one broadcast; more templates are scanned in further passes.
 BLOCK_TOKENS = 1 << 20
+#: Lines over which a short notice may be wrapped.
+WRAPPED = 3
 _PARAGRAPH = re.compile(rb"\n[ \t\r\f\v]*\n")
 
 
@@ -105,15 +108,27 @@ class Scanner:
         starts, labels = self.places(words)
         found: dict[str, float] = {}
         if not self.any.isdisjoint(words):
-            for unit, parts in (("line", text.split(b"\n")), ("paragraph", _PARAGRAPH.split(text))):
+            for unit, parts in (("line", runs(text)), ("paragraph", (set(C.fold(x).split()) for x in _PARAGRAPH.split(text)))):
                 if self.prefix[unit]:
                     for part in parts:
-                        for i, share in self.block(unit, set(C.fold(part).split())):
+                        for i, share in self.block(unit, part):
                             label = self.templates[i].label
                             found[label] = max(share, found.get(label, 0))
         return len(words), starts, labels, found
 
 
+def runs(text: bytes) -> Iterator[set[bytes]]:
+    """Tokens of each line, and of each run of up to WRAPPED lines without a blank one among them."""
+    before: list[set[bytes]] = []
+    for line in text.split(b"\n"):
+        if not line.strip():
+            before = []
+            continue
+        own = set(C.fold(line).split())
+        before = [own, *(x | own for x in before[: WRAPPED - 1])]
+        yield from before
+
+
 def need_of(size: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 

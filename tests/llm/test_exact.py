@@ -263,6 +263,13 @@ def test_licenses(spark):
     assert got[6][6] == "mit-text" and got[6][7] == 1.0 and got[7][1] == 0
 
 
+def test_wrapped_notices(spark):
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."
+    rows = [(1, mpl), (2, "Licensed under\nthe Apache License,\nVersion 2.0"), (3, "Released under the\n\nMIT License"), (4, "Released\nunder\nthe MIT\nLicense")]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("mpl-2.0", 1.0), 2: ("apache,apache-2.0", 1.0), 3: ("mit", 1.0), 4: ("mit", 1.0)}
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
