@@ -4,19 +4,21 @@ Vectors are projected to a few dimensions (principal axes of a bounded sample, t
 curve) and ordered by their Hilbert keys, range-partitioned in Spark. The windows of neighbouring keys around each
 query, from all curves, merge and are reranked by exact distance, which gives a radius. A window is then widened to
 every block of the first curve whose bounding box in the projection may hold a vector within the radius; for data
-that cluster these are few blocks, for pure noise they are many. The widened search misses nothing.
+that cluster these are few blocks, for pure noise they are many. Bounds allow for the rounding of their arithmetic, in
+proportion to the vectors' distance from the centre, so the widened search misses nothing.
 
 Equal vectors are one class that keeps its smallest ids (as many as an answer can show), so a vector that a third
 of all rows share is one point. Queries go against all rows in blocks of QUERIES; each block is one broadcast.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length
-than the commonest one; null ids neither. Ties go to the smaller vec_id. With fewer candidates than k, all are
+Vectors that are null, zero, or hold null or non-finite components take no part; null ids neither. Vectors of
+different length have no distance: each length is searched on its own. Ties go to the smaller vec_id. With fewer candidates than k, all are
 returned. Rows that repeat a vec_id count once if equal; other columns aren't read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -104,11 +106,9 @@ def as_rows(batch: pa.RecordBatch, name: str = "vector") -> np.ndarray:
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and vector (list of doubles) of the rows that take part."""
     v = F.col("embedding").cast("array<double>")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(
         "vec_id is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)"
     )
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (sizes.n if sizes else 0))
 
 
 def classes(rows: DataFrame, k: int, every: int) -> DataFrame:
@@ -215,19 +215,24 @@ def widened(points: DataFrame, queries, curves, k: int) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, q, radius, own = queries.value
-        best = Best(k)
-        square = (q * q).sum(axis=1)
+        best, middle = Best(k), curves.value.center
+        centred = q - middle  # around the centre: products of large equal parts would cancel
+        square = (centred * centred).sum(axis=1)
+        length, unit = np.sqrt(square), 8 * (q.shape[1] + 8) * np.finfo(float).eps
         for batch in batches:
             x, ids = as_rows(batch), batch.column("ids").to_pylist()
             y = curves.value.project(x)
             for a in range(0, len(x), BLOCK):
                 some, box = x[a : a + BLOCK], y[a : a + BLOCK]
+                moved = some - middle
+                squares = (moved * moved).sum(axis=1)
+                scale = length + np.sqrt(squares.max())
                 gap = np.maximum(np.maximum(box.min(axis=0) - own, own - box.max(axis=0)), 0)
-                near = np.flatnonzero((gap * gap).sum(axis=1) <= (radius * (1 + 1e-9) + 1e-9) ** 2)
+                near = np.flatnonzero(np.sqrt((gap * gap).sum(axis=1)) <= radius * (1 + 1e-9) + unit * scale)
                 if not len(near):
                     continue
-                rough = square[near, None] + (some * some).sum(axis=1) - 2 * (q[near] @ some.T)
-                i, j = np.nonzero(rough <= (radius[near, None] * (1 + 1e-6) + 1e-6) ** 2)
+                rough = square[near, None] + squares - 2 * (centred[near] @ moved.T)
+                i, j = np.nonzero(rough <= (radius[near, None] * (1 + 1e-9)) ** 2 + unit * scale[near, None] ** 2)
                 scores = distance(q[near[i]], some[j])
                 for query in np.unique(i):
                     at = np.flatnonzero(i == query)
@@ -243,12 +248,18 @@ def widened(points: DataFrame, queries, curves, k: int) -> DataFrame:
 
 def searched(vectors: DataFrame, k: int = K, every: int = EVERY, curves: int = CURVES, window: int = WINDOW, widen: bool = True) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row whose vec_id is divisible by `every`."""
-    spark = vectors.sparkSession
     rows = usable(vectors)
+    sizes = sorted(r.n for r in rows.where(F.col("vec_id") % every == 0).select(F.size("v").alias("n")).distinct().collect())
+    if not sizes:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [of_one_length(rows.where(F.size("v") == n), k, every, curves, window, widen) for n in sizes]
+    return reduce(DataFrame.union, found)
+
+
+def of_one_length(rows: DataFrame, k: int, every: int, curves: int, window: int, widen: bool) -> DataFrame:
+    spark = rows.sparkSession
     points = C.staged(classes(rows, k, every).withColumn("id", F.element_at("ids", 1)).drop("key"), "classes")
     total = points.count()
-    if not total:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     part = points.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) <= int(1_000_000 * SAMPLE / max(total, SAMPLE))).select("vector").toArrow()
     sample = np.frombuffer(b"".join(part["vector"].to_pylist()), "<f8").reshape(part.num_rows, -1)
     shared = spark.sparkContext.broadcast(Curves(sample, curves))

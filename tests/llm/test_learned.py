@@ -7,8 +7,8 @@ import corpus_pipeline
 from millrace.llm import html, neighbours, quality
 
 
-def brute(rows, k=10, every=100):
-    own = sorted({(i, tuple(v)) for i, v in rows if i is not None and v is not None and len(v) == 6 and all(x is not None and np.isfinite(x) for x in v) and any(v)})
+def brute(rows, k=10, every=100, size=6):
+    own = sorted({(i, tuple(v)) for i, v in rows if i is not None and v is not None and len(v) == size and all(x is not None and np.isfinite(x) for x in v) and any(v)})
     x = np.array([v for _, v in own], float)
     out = set()
     for i, v in own:
@@ -34,11 +34,39 @@ def test_neighbours(spark, vectors):
     assert got == brute(vectors)
 
 
-def test_windows_alone_find_some(spark, vectors):
+def recall(got, want):
+    pairs = {(q, v) for q, _, v, _ in want}
+    return len(pairs & {(r.query_id, r.vec_id) for r in got}) / len(pairs)
+
+
+def test_windows_alone(spark, vectors):
+    """Without widening: nine tenths on vectors that cluster with default windows, and on noise with wider ones."""
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
-    got = {(r.query_id, r.vec_id) for r in neighbours.searched(df, widen=False).collect()}
-    want = {(q, v) for q, _, v, _ in brute(vectors)}
-    assert len(got & want) >= 0.5 * len(want)
+    assert recall(neighbours.searched(df, widen=False, curves=8, window=96).collect(), brute(vectors)) >= 0.9
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 24))
+    rows = [(i, (centres[i % 40] + 0.05 * rng.normal(size=24)).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert recall(neighbours.searched(df, widen=False).collect(), brute(rows, size=24)) >= 0.9
+
+
+def test_far_from_the_origin(spark):
+    """Close groups of long vectors: nothing is lost to rounding."""
+    rng = np.random.default_rng(4)
+    for middle, spread, kind in ((1e4, 1e-4, "double"), (100, 1e-3, "float"), (0.0, 1e-4, "double")):
+        far = 1e7 * rng.normal(size=(3, 12)) if not middle else np.full((3, 12), middle)
+        rows = [(i, (far[i % 3] + spread * rng.normal(size=12)).astype("f4" if kind == "float" else "f8").tolist()) for i in range(1500)]
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.searched(df).collect()}
+        assert got == brute(rows, size=12)
+
+
+def test_vectors_of_each_length(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=6 if i % 3 else 4).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.searched(df).collect()}
+    assert got == brute(rows, size=6) | brute(rows, size=4)
 
 
 def test_few_vectors(spark):
