@@ -1,5 +1,7 @@
 """Operators without an exact SQL statement, and the pipeline."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -114,6 +116,93 @@ QUOTES = {
 }
 
 
+#: Options, drawings, formulas, visibility, cells that span.
+SEEN = {
+    "a <select><option>x<option selected>y<option>z</select> b": "a y b",
+    "<select multiple><option>x<option>y</select>": "x\ny",
+    "<svg><title>no</title><desc>no</desc><text x=1>one</text><g><text>two</text></g></svg>": "one\ntwo",
+    "<math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></semantics></math>": "x=1",
+    "<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b><p>no</div>z": "yes\n\nz",
+    "<div style='display:none'><b style='visibility:visible'>no</b></div>z": "z",
+    "<table><tr><th colspan=2>a wide heading<tr><td>x<td>y<tr><td>long<td>z</table>": "a wide heading\nx    | y\nlong | z",
+    "<table><tr><td colspan=2>wider than both<td>e<tr><td>x<td>y<td>f</table>": "wider than both | e\nx | y           | f",
+    "<table><tr><td rowspan=2>r<td>x<tr><td>y<tr><td>s<td>z</table>": "r | x\n  | y\ns | z",
+    "<table><tr><td><table><tr><td>i<td>j</table><td>k</table>": "i | j | k",
+    "<a <b>x</b>": "<a x",
+    "<p a=x<y b>z": "<p a=xz",
+}
+
+
+@pytest.mark.parametrize("source", list(SEEN))
+def test_html_that_is_seen(source):
+    assert html.render(source) == SEEN[source]
+
+
+def written(rng, depth=0):
+    """A random page part: its markup, with end tags left out where they may be, and its lines as (blank line around, lines)."""
+    word = lambda: "".join(rng.choice(list("abcdefg"), rng.integers(1, 6)))
+    kind = rng.choice(["p", "div", "h2", "ul", "ol", "quote", "table", "hidden", "pre"] if depth < 3 else ["p", "div"])
+    text = " ".join(word() for _ in range(rng.integers(1, 4)))
+    loose = text.replace(" ", "\n  ", 1)
+    if kind in ("p", "h2"):
+        return f"<{kind}>{loose}<i></i>" + ("" if kind == "p" and rng.random() < 0.5 else f"</{kind}>"), [(1, [text])]
+    if kind == "div":
+        return f"<div>{loose}</div>", [(0, [text])]
+    if kind == "hidden":
+        return f"<div hidden>{loose}<p>no</div><script>no()</script><!-- no -->", []
+    if kind == "pre":
+        return f"<pre>{text}\n  {text}</pre>", [(1, [text, f"  {text}"])]
+    if kind == "table":
+        cells = [[word() for _ in range(3)] for _ in range(rng.integers(1, 4))]
+        wide = [max(len(r[k]) for r in cells) for k in range(3)]
+        close = rng.random() < 0.5
+        markup = "".join("<tr>" + "".join(f"<td> {c}{'</td>' * close}" for c in r) + "</tr>" * close for r in cells)
+        return f"<table>{markup}</table>", [(1, [" | ".join(c.ljust(w) for c, w in zip(r, wide, strict=True)).rstrip() for r in cells])]
+    parts = [[written(rng, depth + 1) for _ in range(rng.integers(1, 3))] for _ in range(rng.integers(1, 3))]
+    flat = lambda item: [(0 if m.startswith(("<ul", "<ol")) else gap, x) for m, found in item for gap, x in found]  # noqa: E731  lists in boxes stand close
+    if kind == "quote":
+        lines = stacked(flat(parts[0]))
+        return "<blockquote>" + "".join(m for m, _ in parts[0]) + "</blockquote>", [(1, [f"  {x}" if x else "" for x in lines])]
+    lines, markup = [], ""
+    for n, item in enumerate(parts, 1):
+        first = word()
+        mark = f"{n}. " if kind == "ol" else "- "
+        own = stacked([(0, [first]), *flat(item)])
+        lines += [mark + own[0], *(" " * len(mark) + x if x else "" for x in own[1:])]
+        markup += f"<li>{first}" + "".join(m for m, _ in item) + ("</li>" if rng.random() < 0.5 else "")
+    return f"<{kind}>{markup}</{kind}>", [(1, lines)]
+
+
+def stacked(parts):
+    lines, before = [], 0
+    for gap, own in parts:
+        if own:
+            lines += ([""] if lines and max(gap, before) else []) + own
+        before = gap if own else max(gap, before)
+    return lines
+
+
+def test_html_against_a_second_renderer():
+    rng = np.random.default_rng(12)
+    for _ in range(400):
+        made = [written(rng) for _ in range(rng.integers(1, 5))]
+        assert html.render("".join(m for m, _ in made)) == "\n".join(stacked([x for _, own in made for x in own]))
+
+
+@pytest.mark.parametrize("source", ["<div>" * 200_000 + "x", "<a " * 300_000, "<b>" * 80_000 + "</i>" * 80_000, "<ul><li>x" * 60_000, "<table><tr><td>" * 50_000 + "x", "<p><object>" + "<div>" * 150_000, "<a x=\"" * 150_000, "<textarea>" + "</textarea " * 90_000, "<" * 1_000_000, "<a b" + " " * 500_000])
+def test_html_in_linear_time(source):
+    """A megabyte or so of nested or unclosed markup; a quadratic walk would take minutes."""
+    began = time.process_time()
+    html.render(source)
+    assert time.process_time() - began < 8
+
+
+def test_layout_is_kept_at_any_depth():
+    lines = html.render("<ul><li>x" * 200).split("\n")
+    assert len(lines) == 200 and lines[50] == " " * 100 + "- x" and lines[150] == " " * html.INDENT + "- x"
+    assert html.render("<ul><li>" * 100 + "x") == "- " * 100 + "x"
+
+
 @pytest.mark.parametrize("source", list(QUOTES))
 def test_quotes_in_tags(source):
     assert html.render(source) == QUOTES[source]
