@@ -32,7 +32,9 @@ from .graph import components
 NGRAM, PERCENT = 4, 85
 #: Frequent columns that are ordered last; any order gives the same links.
 FREQUENT = 1 << 18
-_ENTRIES = ("<u8", "<i8", "<u4", "<u4")
+_ENTRIES = ("<u4", "<i8", "<u4", "<u4")
+#: Bits of a set's signature at least, and of the filter of candidates (at most 4 MB, whatever the number of documents).
+SIGNATURE, FILTER = 1 << 10, 1 << 25
 
 
 def ngrams(text: bytes, n: int, cache: C.WordHashes) -> np.ndarray:
@@ -82,21 +84,29 @@ def first_columns(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+def signature(columns: np.ndarray) -> np.ndarray:
+    """For each of some cells, a power of two not below the set's size, whether an odd number of the columns falls there."""
+    n = max(SIGNATURE, 1 << max(0, len(columns) - 1).bit_length())
+    cells = np.bincount((C.mix(columns) >> C.U64(16)).astype(np.int64) & (n - 1), minlength=n) & 1
+    return np.packbits(cells.astype(bool)).view(np.int64)
+
+
 def rows_of(docs: DataFrame, columns, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set, its first columns."""
+    """doc_id, n_shingles, two hashes of the set, its first columns, its signature."""
     cache = C.WordHashes()
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        sizes, one, two, firsts = [], [], [], []
+        sizes, one, two, firsts, signs = [], [], [], [], []
         for text in C.as_bytes(batch.column("text")):
             own = columns.value.of(ngrams(text, n, cache))
             sizes.append(len(own))
             one.append(C.mix(own).sum(dtype=C.U64))
             two.append(C.mix(own * C.U64(0x9E3779B97F4A7C15) + C.U64(1)).sum(dtype=C.U64))
             firsts.append(own[: first_columns(len(own), percent)].view(np.int64) if len(own) else own.view(np.int64))
-        yield {"doc_id": batch.column("doc_id"), "n_shingles": sizes, "one": np.array(one, C.U64).view(np.int64), "two": np.array(two, C.U64).view(np.int64), "firsts": firsts}
+            signs.append(signature(own))
+        yield {"doc_id": batch.column("doc_id"), "n_shingles": sizes, "one": np.array(one, C.U64).view(np.int64), "two": np.array(two, C.U64).view(np.int64), "firsts": firsts, "sign": signs}
 
-    return C.mapped(docs, step, "doc_id long, n_shingles long, one long, two long, firsts array<long>")
+    return C.mapped(docs, step, "doc_id long, n_shingles long, one long, two long, firsts array<long>, sign array<long>")
 
 
 def entries(classes: DataFrame) -> DataFrame:
@@ -112,7 +122,8 @@ def entries(classes: DataFrame) -> DataFrame:
             place = C.ranges(np.zeros(len(counts), np.int64), counts)
             doc = np.repeat(some.column("doc_id").to_numpy(), counts)
             size = np.repeat(some.column("n_shingles").to_numpy(), counts)
-            yield B.packed((C.mix(column) % n).astype(np.int64), [column, doc, size, place], _ENTRIES)
+            mixed = C.mix(column)
+            yield B.packed((mixed % n).astype(np.int64), [mixed >> C.U64(32), doc, size, place], _ENTRIES)
 
     return C.mapped(classes, step, B.SCHEMA)
 
@@ -132,7 +143,7 @@ def product(packs: DataFrame, percent: int) -> DataFrame:
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in C.groups(batches, "bucket"):
+        for bucket, rows in C.groups(batches, "bucket"):
             column, doc, size, place = B.unpacked(rows.column("payload").to_pylist(), _ENTRIES)
             order = np.lexsort((doc, column))
             column, doc, size, place = (x[order] for x in (column, doc, size.astype(np.int64), place.astype(np.int64)))
@@ -146,21 +157,49 @@ def product(packs: DataFrame, percent: int) -> DataFrame:
                 zero = np.zeros(len(pair), np.int64)
                 yield C.record({"kind": zero, "a": pair[:, 0], "b": pair[:, 1], "size": zero, "place": zero}, arrow)
             if (many := of > 2).any():
-                yield C.record({"kind": np.ones(many.sum(), np.int64), "a": column[many].view(np.int64), "b": doc[many], "size": size[many], "place": place[many]}, arrow)
+                yield C.record({"kind": np.ones(many.sum(), np.int64), "a": (int(bucket) << 32) | column[many].astype(np.int64), "b": doc[many], "size": size[many], "place": place[many]}, arrow)
 
     return packs.repartition(C.partitions(packs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
-def counted(pairs: DataFrame, docs: DataFrame, columns, n: int, percent: int) -> DataFrame:
+def likely(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose signatures allow the threshold. Cells that differ are at most the columns that one set has and the
+    other hasn't, and at the threshold these are at most (100 - percent) / (100 + percent) of both sizes."""
+    own = rows.select("doc_id", "n_shingles", "sign")
+    one, two = (own.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sign").alias(f"s{c}")).hint("merge") for c in "ab")
+    # the cells of the longer signature fold onto those of the shorter one, whose number is half of it for sizes so alike
+    half = lambda s: F.zip_with(F.slice(s, 1, F.shiftright(F.size(s), 1)), F.slice(s, F.shiftright(F.size(s), 1) + 1, F.shiftright(F.size(s), 1)), lambda x, y: x.bitwiseXOR(y))
+    like = lambda s, t: F.when(F.size(s) > F.size(t), half(s)).otherwise(F.col(s))
+    differ = F.aggregate(F.zip_with("ta", "tb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    both = pairs.join(one, "a").join(two, "b").withColumns({"ta": like("sa", "sb"), "tb": like("sb", "sa")})
+    may = (F.size("ta") == F.size("tb")) & ((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb")))
+    if percent <= 50:  # sizes may be less alike
+        may |= F.size("ta") != F.size("tb")
+    return both.where(may).select("a", "b").distinct()
+
+
+def among(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is a node. A bitmap of the nodes' hashes, of bounded size, keeps most other texts
+    from being shuffled; the merge join then settles it, at every size."""
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
+    bits = nodes.groupBy(F.shiftright(cell("doc_id"), 15).alias("__of")).agg(F.bitmap_construct_agg(cell("doc_id").bitwiseAND(32767)).alias("__bits"))
+    near = docs.withColumn("__cell", cell("doc_id")).join(F.broadcast(bits), F.shiftright("__cell", 15) == F.col("__of"))
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(shiftright(__cell & 32767, 3) as int) + 1, 1)")), 16, 10).cast("int")
+    near = near.where(F.call_function("getbit", byte, F.col("__cell").bitwiseAND(7).cast("int")) == 1).select(*docs.columns)
+    return near.join(nodes.hint("merge"), "doc_id")  # nodes are distinct; a semi join would be moved below the bitmap
+
+
+def counted(pairs: DataFrame, rows: DataFrame, docs: DataFrame, columns, n: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose whole sets meet the threshold."""
     cache = C.WordHashes()
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {"doc_id": batch.column("doc_id"), "columns": [columns.value.of(ngrams(t, n, cache)).view(np.int64) for t in C.as_bytes(batch.column("text"))]}
 
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    pairs = C.staged(likely(pairs, rows, percent), "likely")
+    nodes = C.staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "nodes")
     # merge joins at every size: sides that happen to be small today are no reason for another plan
-    sets = C.mapped(docs.join(nodes.hint("merge"), "doc_id", "left_semi"), step, "doc_id long, columns array<long>")
+    sets = C.mapped(among(docs, nodes), step, "doc_id long, columns array<long>")
     overlap = F.size(F.array_intersect("x", "y"))
     return (
         pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("columns").alias("x")).hint("merge"), "a")
@@ -181,18 +220,20 @@ def linked(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame
     key = ["n_shingles", "one", "two"]
     classes = known.groupBy(*key).agg(F.min(F.struct("doc_id", "firsts")).alias("least")).select("n_shingles", "least.*")
     made = C.staged(product(entries(classes), percent), "product")
-    copies = known.select(*key, "doc_id").join(known.groupBy(*key).agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), key).select("a", F.col("doc_id").alias("b")).where("a <> b")
-    first = C.staged(counted(made.where("kind = 0").select("a", "b").where("a <> b").distinct(), named, columns, n, percent), "links")
+    # written first, so that a class of very many copies is no key of an aggregate in the join's stage and can be split
+    least = C.staged(known.groupBy(*key).agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), "copied")
+    copies = known.select(*key, "doc_id").join(least.hint("merge"), key).select("a", F.col("doc_id").alias("b")).where("a <> b")
+    first = C.staged(counted(made.where("kind = 0").select("a", "b").where("a <> b").distinct(), known, named, columns, n, percent), "links")
     roots = components(first)
     open_ = made.where("kind = 1").select(F.col("a").alias("column"), F.col("b").alias("doc"), "size", "place")
-    open_ = open_.join(roots, open_.doc == roots.node, "left").select("column", "doc", "size", "place", F.coalesce("root", "doc").alias("root"))
+    open_ = C.staged(open_.join(roots, open_.doc == roots.node, "left").select("column", "doc", "size", "place", F.coalesce("root", "doc").alias("root")), "entries")
     mixed = open_.groupBy("column").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("column")
     open_ = C.staged(open_.join(mixed, "column", "left_semi"), "open")
     x, y = open_.alias("x"), open_.alias("y")
     overlap = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
     fits = (100 + percent) * overlap >= percent * (F.col("x.size") + F.col("y.size"))
     more = x.join(y, (F.col("x.column") == F.col("y.column")) & (F.col("x.root") < F.col("y.root")) & fits).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-    more = C.staged(counted(C.staged(more, "more"), named, columns, n, percent), "links")
+    more = C.staged(counted(more, known, named, columns, n, percent), "links")
     roots = components(first.union(more).union(copies))
     return rows.join(roots, rows.doc_id == roots.node, "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
