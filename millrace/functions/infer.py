@@ -35,8 +35,8 @@ def classify(c: Column, kind: Column | None = None) -> Column:
 
 
 def infer_types(samples: DataFrame, by: list[str], value: str = "value", order: str = "row_idx") -> DataFrame:
-    """samples: at most SAMPLE values of each column (by), in order. Adds inferred: the commonest type, the first seen of
+    """samples: at most SAMPLE values of each column (by), in order, with the kind of typed cells if given. Adds inferred: the commonest type, the first seen of
     equals, if it has two votes and half of all; else unknown."""
-    votes = samples.where(F.col(value).isNotNull()).groupBy(*by, classify(F.col(value)).alias("type")).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    votes = samples.where(F.col(value).isNotNull()).groupBy(*by, classify(F.col(value), F.col("kind") if "kind" in samples.columns else None).alias("type")).agg(F.count("*").alias("n"), F.min(order).alias("first"))
     best = votes.groupBy(*by).agg(F.max(F.struct("n", (-F.col("first")).alias("first"), "type")).alias("best"), F.sum("n").alias("total"))
     return best.select(*by, F.when(F.col("best.n") >= F.greatest(F.lit(2.0), F.col("total") * 0.5), F.col("best.type")).otherwise("unknown").alias("inferred"))

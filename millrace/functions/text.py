@@ -53,6 +53,13 @@ def normalize_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(strip(fold_marks(c))), "_-", "  "), r"(?U)\s+", " "))
 
 
+def plain_name(name: str) -> str:
+    """normalize_name() of one name at hand."""
+    source, target = _folds()
+    folded = "".join(x for x in name.strip().translate(str.maketrans(source, target)) if not unicodedata.category(x).startswith("M"))
+    return " ".join(folded.lower().translate(str.maketrans("_-", "  ")).split())
+
+
 def title(c: Column) -> Column:
     """A capital after anything that is no letter, small letters elsewhere."""
     return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1)), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(x.substr(F.lit(2), F.length(x))))), "")

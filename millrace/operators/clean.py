@@ -5,19 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import format_date, parse_date
+from ..functions.dates import excel_date, format_date, parse_date
 from ..functions.numbers import parse_number, truncated
 from ..functions.text import clean_text
 from ..plans.model import ISSUE, NUMBER_TYPES, CleanRules, Mapping, Template
 
 
-def clean_cell(raw: Column, data_type: str | None, rules: CleanRules) -> Column:
-    """The cleaned value of a text: string, long or double; null if it can't be read as its type."""
+def clean_cell(raw: Column, data_type: str | None, rules: CleanRules, cell: Column | None = None) -> Column:
+    """The cleaned value of a text: string, long or double; null if it can't be read as its type.
+
+    cell: kind and number of a typed cell, null for a text. A number is a date by its days and itself as a number; a boolean
+    is neither.
+    """
     kind = (data_type or "").lower()
     if kind == "date":
-        return format_date(parse_date(raw), rules.output_date_format)
+        parsed = parse_date(raw)
+        if cell is not None:
+            parsed = F.when(cell["kind"] == "n", excel_date(cell["d"])).when(cell["kind"] == "b", None).otherwise(parsed)
+        return format_date(parsed, rules.output_date_format)
     if kind in NUMBER_TYPES:
         number = parse_number(raw, rules.strip_currency)
+        if cell is not None:
+            number = F.when(cell["kind"] == "n", cell["d"]).when(cell["kind"] == "b", None).otherwise(number)
         return truncated(number) if kind == "int" else number
     return F.nullif(clean_text(raw, rules.trim, rules.normalize_unicode, rules.case), F.lit(""))
 
@@ -27,22 +36,23 @@ def issue(row: Column, column: str, severity: str, kind: str, message: str, valu
     return F.struct(row.cast("long").alias("row"), F.lit(column).alias("column"), F.lit(severity).alias("severity"), F.lit(kind).alias("type"), F.lit(message).alias("message"), value.alias("value"))
 
 
-def apply_rules(df: DataFrame, template: Template, mappings: list[Mapping], rules: CleanRules | None = None, row_idx: str = "row_idx", keep: tuple[str, ...] = (), mapped: str | None = None) -> DataFrame:
+def apply_rules(df: DataFrame, template: Template, mappings: list[Mapping], rules: CleanRules | None = None, row_idx: str = "row_idx", keep: tuple[str, ...] = (), mapped: str | None = None, typed: str | None = None) -> DataFrame:
     """row_idx, a column for each template column in its order, `raw` (struct of source values), `issues`, and counts.
 
     A value that can't be read stays null here with its raw value beside it; `merged` makes the string the sink shows.
     An unmapped column is null and has no default. Cell issues come before default issues; the row of an issue is the
     index plus two, as in a sheet with one header line. keep: columns to take along. mapped: an array column with the
-    names of the template columns that a row's file has; the others get no default.
+    names of the template columns that a row's file has; the others get no default. typed: a map column from template columns
+    to the kind and number of a row's cells that are no text.
     """
     rules = rules or CleanRules()
     source = {m.template_col: m.source_col for m in mappings if m.source_col is not None and m.source_col in df.columns}
     mapped_cols = [t for t in template.columns if t.name in source]
     at = {t.name: i for i, t in enumerate(mapped_cols)}
-    taken = [*keep, *([mapped] if mapped and mapped not in keep else [])]
+    taken = [*keep, *(c for c in (mapped, typed) if c and c not in keep)]
     # three projections, so that a raw and a cleaned value are each computed once
     raw = df.select(*taken, F.col(row_idx).alias("row_idx"), *[F.col(f"`{source[t.name]}`").cast("string").alias(f"__raw{i}") for i, t in enumerate(mapped_cols)])
-    done = raw.withColumns({f"__clean{i}": clean_cell(F.col(f"__raw{i}"), t.data_type, rules) for i, t in enumerate(mapped_cols)})
+    done = raw.withColumns({f"__clean{i}": clean_cell(F.col(f"__raw{i}"), t.data_type, rules, F.try_element_at(typed, F.lit(t.name)) if typed else None) for i, t in enumerate(mapped_cols)})
     row = F.col("row_idx") + 2
     bad, filled, cleaned, defaults, outs = [], [], [], [], {}
     for i, t in enumerate(mapped_cols):

@@ -53,7 +53,7 @@ def best_sheets(grid: DataFrame) -> DataFrame:
 def transposed(grid: DataFrame) -> DataFrame:
     """source_path, sheet, transposed: labels run down the first column. Rows 0 to 2 are tried; numbers to the right, texts below."""
     first = F.try_element_at("cells", F.lit(1))
-    rest = filled(F.slice("cells", 2, 100_000))
+    rest = filled(F.slice("cells", 2, F.size("cells")))
     has_label = first["s"].isNotNull() & (strip(first["s"]) != "")
     rows = grid.where("row_idx < 14").select(
         *_FILE, "row_idx", F.when(has_label, strip(first["s"])).alias("label"), (first["kind"] == "s").alias("is_text"),
@@ -98,12 +98,18 @@ def resolved_headers(grid: DataFrame, header_row: int | None = None, skip_rows:
     return names.select(*_FILE, "header_row", unique_names(F.col("plain")).alias("names"), (F.size("plain") - F.size(F.array_distinct("plain"))).alias("duplicates"))
 
 
+def _valued(names: Column, cells: Column) -> list[Column]:
+    """values: a map from name to text; typed: one from name to kind and number of the cells that are no text."""
+    width = F.least(F.size(names), F.size(cells))
+    names, cells = F.slice(names, 1, width), F.slice(cells, 1, width)
+    typed = F.map_filter(F.map_from_arrays(names, F.transform(cells, lambda x: F.struct(x["kind"].alias("kind"), x["d"].alias("d")))), lambda _, x: x["kind"] != "s")
+    return [F.map_from_arrays(names, F.transform(cells, lambda x: x["s"])).alias("values"), typed.alias("typed")]
+
+
 def records(grid: DataFrame, headers: DataFrame) -> DataFrame:
-    """source_path, sheet, row_idx (from 0), values: a map from name to text for each row below the header, cut to the header's width."""
+    """source_path, sheet, row_idx (from 0), values, typed (see _valued) for each row below the header, cut to the header's width."""
     rows = grid.join(headers.select(*_FILE, "header_row", "names"), list(_FILE)).where("row_idx > header_row")
-    texts = F.transform("cells", lambda x: x["s"])
-    width = F.least(F.size("names"), F.size("cells"))
-    return rows.select(*_FILE, (F.col("row_idx") - F.col("header_row") - 1).alias("row_idx"), F.map_from_arrays(F.slice("names", 1, width), F.slice(texts, 1, width)).alias("values"))
+    return rows.select(*_FILE, (F.col("row_idx") - F.col("header_row") - 1).alias("row_idx"), *_valued(F.col("names"), F.col("cells")))
 
 
 def transposed_records(grid: DataFrame) -> DataFrame:
@@ -111,14 +117,16 @@ def transposed_records(grid: DataFrame) -> DataFrame:
     cells = grid.select(*_FILE, "row_idx", F.posexplode("cells").alias("col", "cell"))
     names = cells.where("col = 0").groupBy(*_FILE).agg(F.array_sort(F.collect_list(F.struct("row_idx", "cell"))).alias("r"))
     names = names.select(*_FILE, unique_names(clean_header(F.transform("r", lambda x: x["cell"]))).alias("names"))
-    body = cells.where("col > 0").groupBy(*_FILE, "col").agg(F.array_sort(F.collect_list(F.struct("row_idx", F.col("cell.s").alias("s")))).alias("r"))
+    body = cells.where("col > 0").groupBy(*_FILE, "col").agg(F.array_sort(F.collect_list(F.struct("row_idx", "cell"))).alias("r"))
     joined = body.join(names, list(_FILE))
-    width = F.least(F.size("names"), F.size("r"))
-    return joined.select(*_FILE, (F.col("col") - 1).cast("long").alias("row_idx"), F.map_from_arrays(F.slice("names", 1, width), F.slice(F.transform("r", lambda x: x["s"]), 1, width)).alias("values"))
+    return joined.select(*_FILE, (F.col("col") - 1).cast("long").alias("row_idx"), *_valued(F.col("names"), F.transform("r", lambda x: x["cell"])))
 
 
 def samples(recs: DataFrame, limit: int = 20, blanks: bool = False) -> DataFrame:
-    """source_path, sheet, name, row_idx, value: the first values of each column; blanks: blank texts count as values."""
-    cells = recs.select(*_FILE, "row_idx", F.explode("values").alias("name", "value")).where(F.col("value").isNotNull() if blanks else F.col("value").isNotNull() & (strip(F.col("value")) != ""))
+    """source_path, sheet, name, row_idx, value, kind (of a cell that is no text): the first values of each column; blanks: blank
+    texts count as values. The window's limit is applied within each partition before the shuffle too."""
+    typed = ["typed"] if "typed" in recs.columns else []
+    cells = recs.select(*_FILE, "row_idx", *typed, F.explode("values").alias("name", "value")).where(F.col("value").isNotNull() if blanks else F.col("value").isNotNull() & (strip(F.col("value")) != ""))
+    kind = F.try_element_at("typed", F.col("name"))["kind"] if typed else F.lit(None).cast("string")
     order = Window.partitionBy(*_FILE, "name").orderBy("row_idx")
-    return cells.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).drop("n")
+    return cells.select(*_FILE, "row_idx", "name", "value", kind.alias("kind")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).drop("n")

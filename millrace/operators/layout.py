@@ -47,7 +47,7 @@ def _turned(rows: Column) -> Column:
 def _straight(rows: Column) -> Column:
     """Records below a first row of names, padded and cut to its width."""
     names = F.try_element_at(rows, F.lit(1))
-    body = F.slice(rows, 2, 1_000_000)
+    body = F.slice(rows, 2, F.size(rows))
     return F.struct(names.alias("names"), F.transform(body, lambda r: F.transform(names, lambda _, i: F.try_element_at(r, i + 1))).alias("records"))
 
 
@@ -61,7 +61,7 @@ def _others(rows: Column) -> Column:
 def word_tables(rows: DataFrame, by: list[str]) -> DataFrame:
     """by, table (names, records): rows from the first with three cells on; as records per column where all columns are about as long as the first."""
     first = F.array_position(F.transform("rows", lambda r: F.size(r) >= 3), F.lit(True))
-    own = rows.where(first > 0).withColumn("rows", F.slice("rows", first.cast("int"), 1_000_000)).where(F.size("rows") >= 2)
+    own = rows.where(first > 0).withColumn("rows", F.slice("rows", first.cast("int"), F.size("rows"))).where(F.size("rows") >= 2)
     turn = (F.size("rows") > 2) & (_others(F.col("rows")) > 0) & (F.abs(F.size("rows") - _others(F.col("rows"))) <= 2)
     return own.select(*by, F.when(turn, _turned(F.col("rows"))).otherwise(_straight(F.col("rows"))).alias("table"))
 
@@ -72,7 +72,7 @@ def box_tables(rows: DataFrame, by: list[str]) -> DataFrame:
     width = F.array_max(F.transform("rows", lambda r: F.size(r)))
     turn = (width >= 3) & (F.size("rows") >= 3) & (_others(F.col("rows")) >= 1) & (F.size("rows") > _others(F.col("rows")))
     first = F.array_position(F.transform("rows", lambda r: F.size(r) >= 2), F.lit(True))
-    below = F.slice("rows", F.greatest(first, F.lit(1)).cast("int"), 1_000_000)
+    below = F.slice("rows", F.greatest(first, F.lit(1)).cast("int"), F.size("rows"))
     made = own.select(*by, F.when(turn, _turned(F.col("rows"))).when((first > 0) & (F.size(below) > 1), _straight(below)).alias("table"))
     return made.where("table is not null")
 
@@ -80,7 +80,7 @@ def box_tables(rows: DataFrame, by: list[str]) -> DataFrame:
 def ruled_tables(tables: DataFrame, by: list[str]) -> DataFrame:
     """tables: by, table_idx, rows. The tables of a page as one: later ones without their first row; turned where the first column is over twice as long as the others."""
     joined = tables.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("table_idx", "rows"))).alias("t"))
-    rows = F.flatten(F.transform("t", lambda x, i: F.when(i == 0, x["rows"]).otherwise(F.slice(x["rows"], 2, 1_000_000))))
+    rows = F.flatten(F.transform("t", lambda x, i: F.when(i == 0, x["rows"]).otherwise(F.slice(x["rows"], 2, F.size(x["rows"])))))
     own = joined.select(*by, rows.alias("rows"))
     length = F.size(F.filter("rows", lambda r: F.coalesce(F.try_element_at(r, F.lit(1)), F.lit("")) != ""))
     turn = (length > 3) & (length > 2 * _others(F.col("rows")))

@@ -87,6 +87,7 @@ class Mapping:
     confidence: float
 
 
+#: The fields of the three classes below are the keys of saved settings: fixed values.
 @dataclass(frozen=True)
 class CleanRules:
     trim: bool = True
@@ -104,6 +105,7 @@ class AIConfig:
     model: str = ""
     base_url: str = ""
     timeout: float = 60.0
+    temperature: float = 0.0
     max_tokens: int = 300
     aggressive: bool = False
 

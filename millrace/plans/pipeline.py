@@ -14,7 +14,7 @@ from ..operators.matching import greedy, score_pairs, unmapped_sources
 from ..operators.report import batch_report, file_reports
 from ..sources.files import grids
 from .staging import materialized
-from .model import MAPPING, Mapping, Settings, Template
+from .model import MAPPING, NUMBER_TYPES, Mapping, Settings, Template
 
 
 @dataclass
@@ -78,7 +78,7 @@ def suggested(mappings: DataFrame, sources: DataFrame, template: Template, sugge
 
 
 def standardize_records(recs: DataFrame, names: DataFrame, template: Template, settings: Settings | None = None, synonyms: DataFrame | None = None, suggester=None, override: list[Mapping] | None = None) -> Result:
-    """recs: source_path, sheet, row_idx, values (map). All files go through one select: a row's value of a template column is looked
+    """recs: source_path, sheet, row_idx, values (map), and typed (map) if cells are typed. All files go through one select: a row's value of a template column is looked
     up by its file's mapping, which joins as a small table."""
     settings = settings or Settings()
     spark = recs.sparkSession
@@ -91,9 +91,13 @@ def standardize_records(recs: DataFrame, names: DataFrame, template: Template, s
     mappings = materialized(mappings, "mappings")
     used = F.filter("mappings", lambda m: m["source_col"].isNotNull())
     lookup = mappings.select(F.col("group").alias("source_path"), F.map_from_entries(F.transform(used, lambda m: F.struct(m["template_col"], m["source_col"]))).alias("lookup"))
-    wide = recs.join(lookup, "source_path").select("source_path", "row_idx", F.map_keys("lookup").alias("mapped"), *[F.try_element_at("values", F.try_element_at("lookup", F.lit(n))).alias(n) for n in template.names])
+    # of the typed cells only what a template column of a type needs: dates and numbers
+    own = F.map_filter("lookup", lambda t, _: t.isin(*[c.name for c in template.columns if (c.data_type or "").lower() in ("date", *NUMBER_TYPES)]))
+    typed = [F.map_filter(F.transform_values(own, lambda _, s: F.try_element_at("typed", s)), lambda _, x: x.isNotNull()).alias("typed")] if "typed" in recs.columns else []
+    wide = recs.join(lookup, "source_path").select("source_path", "row_idx", F.map_keys("lookup").alias("mapped"), *[t.alias("__typed") for t in typed], *[F.try_element_at("values", F.try_element_at("lookup", F.lit(n))).alias(n) for n in template.names])
     identity = [Mapping(n, n, "exact", 100.0) for n in template.names]
-    cleaned = apply_rules(wide, template, identity, settings.clean, keep=("source_path",), mapped="mapped")
+    # the table, the issues and the reports all come from it: every row is cleaned once
+    cleaned = materialized(apply_rules(wide, template, identity, settings.clean, keep=("source_path",), mapped="mapped", typed="__typed" if typed else None), "cleaned")
     log = lambda df, col, severity, kind, message: df.select("source_path", F.lit(0).cast("long").alias("row"), F.col(col).alias("column"), F.lit(severity).alias("severity"), F.lit(kind).alias("type"), F.lit(message).alias("message"), F.lit(None).cast("string").alias("value"))
     extra = log(unmapped_sources(sources, mappings).select(F.col("group").alias("source_path"), F.explode("extra").alias("c")), "c", "warning", "extra_column", "Source column isn't in the template")
     missing = log(mappings.select(F.col("group").alias("source_path"), F.explode(F.filter("mappings", lambda m: m["source_col"].isNull())).alias("m")).select("source_path", F.col("m.template_col").alias("c")), "c", "error", "unmapped_column", "No source column found")

@@ -5,16 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet under spark.checkpoint.dir (a folder of our own where that is unset), read again: computed once, short lineage."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def folder(spark: SparkSession) -> str:
+    """Of this application, under spark.checkpoint.dir. On one machine a temporary folder serves where that is unset."""
+    at, master = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir(), spark.sparkContext.master
+    if not at and master.startswith("local") and not master.startswith("local-cluster"):
+        at = f"{tempfile.gettempdir()}/millrace-{spark.sparkContext.applicationId}"
     if not at:
-        at = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    to = f"{at.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{at.rstrip('/')}/millrace-tables/{spark.sparkContext.applicationId}"
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet, read again: computed once, short lineage. Readable until clear()."""
+    to = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(to)
-    return spark.read.schema(df.schema).parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the tables of this application; for after its results are written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
