@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SCHEMA = "bucket int, payload binary"
-MARKS = "doc_id long, word long"
-MARK_TYPES = ("<i8", "<i8")
+MARKS = "doc_id long, tag long, word long"
+MARK_TYPES = ("<i8", "<i8", "<i8")
 
 
 def count(df: DataFrame) -> int:
@@ -38,9 +38,9 @@ def planes(column: np.ndarray) -> bytes:
     return column.view(np.uint8).reshape(len(column), -1).T.tobytes()
 
 
-def passing(doc: np.ndarray, word: np.ndarray) -> dict:
+def passing(doc: np.ndarray, tag: np.ndarray, word: np.ndarray) -> dict:
     """Marks known on the map side, dealt out by their document."""
-    return packed(-1 - (C.mix(doc.astype(C.U64)) % C.U64(256)).astype(np.int64), [doc, word], MARK_TYPES, by=doc)
+    return packed(-1 - (C.mix(doc.astype(C.U64)) % C.U64(256)).astype(np.int64), [doc, tag, word], MARK_TYPES, by=doc)
 
 
 def unpacked(payloads: list[bytes], types: tuple[str, ...]) -> list[np.ndarray]:
@@ -54,8 +54,8 @@ def unpacked(payloads: list[bytes], types: tuple[str, ...]) -> list[np.ndarray]:
     return [np.concatenate(own) for own in parts]
 
 
-def resolved(packs: DataFrame, types: tuple[str, ...], solve: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
-    """Marks (doc_id, word) that solve yields for each whole bucket, and those that pass."""
+def resolved(packs: DataFrame, types: tuple[str, ...], solve: Callable[..., Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> DataFrame:
+    """Marks (doc_id, tag, word) that solve yields for each whole bucket, and those that pass."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -64,9 +64,9 @@ def resolved(packs: DataFrame, types: tuple[str, ...], solve: Callable[..., Iter
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in C.groups(batches, "bucket"):
             payloads = rows.column("payload").to_pylist()
-            for doc, word in [tuple(unpacked(payloads, MARK_TYPES))] if bucket < 0 else solve(*unpacked(payloads, types)):
+            for doc, tag, word in [tuple(unpacked(payloads, MARK_TYPES))] if bucket < 0 else solve(*unpacked(payloads, types)):
                 if len(doc):
-                    yield C.record({"doc_id": doc, "word": word}, arrow)
+                    yield C.record({"doc_id": doc, "tag": tag, "word": word}, arrow)
 
     n = C.partitions(packs.sparkSession)
     return packs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, MARKS)
@@ -74,7 +74,7 @@ def resolved(packs: DataFrame, types: tuple[str, ...], solve: Callable[..., Iter
 
 def by_document(marks: DataFrame) -> DataFrame:
     """doc_id, tag, words: the marks of one document (as many as it has positions at most)."""
-    return marks.groupBy("doc_id", F.shiftrightunsigned("word", 48).cast("int").alias("tag")).agg(F.collect_list("word").alias("words"))
+    return marks.groupBy("doc_id", "tag").agg(F.collect_list("word").alias("words"))
 
 
 def starts_of(*keys: np.ndarray) -> np.ndarray:

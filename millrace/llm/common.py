@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -20,6 +22,12 @@ STEP = 1 << 20
 
 U64 = np.uint64
 
+# Workers live on between tasks: let what they free go back to the system (M_MMAP_THRESHOLD and M_TRIM_THRESHOLD of glibc).
+pa.set_memory_pool(pa.system_memory_pool())
+with contextlib.suppress(AttributeError, OSError):
+    for _option in (-3, -1):
+        ctypes.CDLL(None).mallopt(_option, 1 << 18)
+
 
 # ---------------------------------------------------------------- Spark side
 
@@ -33,11 +41,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. On one machine a temporary folder serves where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        at = f"{tempfile.gettempdir()}/millrace-{spark.sparkContext.applicationId}"
     if not at:
-        at = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return at.rstrip("/")
 
 
@@ -55,19 +64,30 @@ def clear(spark: SparkSession) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def keyed(docs: DataFrame, carry: list[str] | None = None, several: DataFrame | None = None) -> DataFrame:
     """doc_id, tag, text: the only columns the operators read, whatever else docs holds.
 
-    tag tells apart rows that repeat a doc_id with other text. A null text is empty. carry: columns to
-    take along, in a struct of that name.
+    tag is 0 but for the rows of a doc_id that stands with other texts too (several): there it is the 64-bit hash of
+    the text. A null text is empty. carry: columns to take along, in a struct of that name.
     """
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.select(
-        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-        F.xxhash64(text).bitwiseAND(F.lit(0x7FFF)).cast("int").alias("tag"),
-        text.alias("text"),
-        *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry")] if carry else []),
-    )
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry")] if carry else []))
+    rest = own.columns[1:]
+    if several is None:
+        return own.select("doc_id", F.lit(0).cast("long").alias("tag"), *rest)
+    return own.join(several.withColumn("again", F.lit(True)), "doc_id", "left").select("doc_id", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0)).cast("long").alias("tag"), *rest)
+
+
+#: doc_ids with different texts that are broadcast (8 bytes each); beyond, they are joined by a shuffle.
+SEVERAL = 1 << 20
+
+
+def several(docs: DataFrame) -> DataFrame | None:
+    """The doc_ids that stand with different texts, for keyed(); None if there are none, as should be."""
+    rows = keyed(docs).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"))
+    found = staged(rows.groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("doc_id"), "several")
+    n = found.count()
+    return None if not n else F.broadcast(found) if n <= SEVERAL else found.hint("merge")
 
 
 def carried(schema: str, frame: DataFrame) -> StructType:

@@ -29,7 +29,7 @@ from . import common as C
 
 #: One boundary in so many lines, on average.
 PERIOD = 4
-_CHUNKS = ("<u8", "<i8", "<u2", "<u4")
+_CHUNKS = ("<u8", "<i8", "<i8", "<u4")
 
 
 def chunks(text: bytes, period: int) -> tuple[list[bytes], list[tuple[int, int]]]:
@@ -81,20 +81,20 @@ def shared(keyed: DataFrame, period: int, joined: bool) -> DataFrame:
             counts = np.diff(np.r_[cuts, len(key)])
             many = np.repeat(counts > 1, counts)
             if many.any():
-                yield B.passing(doc[many], (tag[many] << 48) | at[many])
+                yield B.passing(doc[many], tag[many], at[many])
             send = ~many
             send[cuts] = True  # one of each tells other batches that it exists
             yield B.packed((key[send] % n).astype(np.int64), [key[send], doc[send], tag[send], at[send]], _CHUNKS, by=doc[send])
 
-    return C.mapped(keyed.where("doc_id is not null"), step, B.SCHEMA, 8 * C.STEP)
+    return C.mapped(keyed.where("doc_id is not null"), step, B.SCHEMA, 2 * C.STEP)
 
 
-def twice(key, doc, tag, at) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def twice(key, doc, tag, at) -> Iterator[tuple[np.ndarray, ...]]:
     order = np.argsort(key, kind="stable")
     cuts = B.starts_of(key[order])
     counts = np.diff(np.r_[cuts, len(key)])
     many = order[np.repeat(counts > 1, counts)]
-    yield doc[many], (tag[many].astype(np.int64) << 48) | at[many]
+    yield doc[many], tag[many], at[many].astype(np.int64)
 
 
 def fetched(found: DataFrame, period: int, joined: bool) -> DataFrame:
@@ -105,15 +105,15 @@ def fetched(found: DataFrame, period: int, joined: bool) -> DataFrame:
         seen, out, last = set(), [], None
         for doc, tag, text, words in rows:
             lines, spans = spans_of(text, period, joined)
-            for k in sorted({w & ((1 << 48) - 1) for w in words}):
+            for k in sorted(set(words)):
                 whole = b"\n".join(lines[slice(*spans[k])])
                 key = xxhash.xxh3_64_intdigest(whole)
-                out.append((key - (1 << 63), doc, (tag << 48) | k, None if whole in seen and (doc, tag) != last else whole))
+                out.append((key - (1 << 63), doc, tag, k, None if whole in seen and (doc, tag) != last else whole))
                 seen.add(whole)
             last = doc, tag
-        yield dict(zip(("key", "doc_id", "word", "chunk"), zip(*out, strict=True), strict=True))
+        yield dict(zip(("key", "doc_id", "tag", "word", "chunk"), zip(*out, strict=True), strict=True))
 
-    return C.mapped(found, step, "key long, doc_id long, word long, chunk binary", 8 * C.STEP)
+    return C.mapped(found, step, "key long, doc_id long, tag long, word long, chunk binary", 2 * C.STEP)
 
 
 def compared(rows: DataFrame) -> DataFrame:
@@ -126,23 +126,25 @@ def compared(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, texts = None, {}
         for batch in batches:
-            docs, words = [], []
-            for key, doc, word, chunk in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "word", "chunk")), strict=True):
+            docs, tags, words = [], [], []
+            for key, doc, tag, word, chunk in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "tag", "word", "chunk")), strict=True):
                 if key != last:
                     last, texts = key, {}
-                if texts.setdefault(chunk, (doc, word)) != (doc, word):
+                if texts.setdefault(chunk, (doc, tag, word)) != (doc, tag, word):
                     docs.append(doc)
+                    tags.append(tag)
                     words.append(word)
-            yield C.record({"doc_id": docs, "word": words}, arrow)
+            yield C.record({"doc_id": docs, "tag": tags, "word": words}, arrow)
 
     spark = rows.sparkSession
-    alone = rows.where("chunk is not null").repartition(C.partitions(spark), "key").sortWithinPartitions("key", "doc_id", "word").mapInArrow(run, B.MARKS)
-    return alone.union(rows.where("chunk is null").select("doc_id", "word"))
+    alone = rows.where("chunk is not null").repartition(C.partitions(spark), "key").sortWithinPartitions("key", "doc_id", "tag", "word").mapInArrow(run, B.MARKS)
+    return alone.union(rows.where("chunk is null").select("doc_id", "tag", "word"))
 
 
 def deduped(docs: DataFrame, period: int = PERIOD, kept: bool = False, carry: list[str] | None = None, joined: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256; with kept: the rest of the text too; carry: columns of docs to take along; joined: see above."""
-    keyed = C.keyed(docs)
+    several = C.several(docs)
+    keyed = C.keyed(docs, several=several)
     marks = C.staged(B.resolved(shared(keyed, period, joined), _CHUNKS, twice), "chunks")
     # merge joins at every size: sides that happen to be small today are no reason for another plan
     rows = C.staged(fetched(keyed.join(B.by_document(marks).hint("merge"), ["doc_id", "tag"]), period, joined), "fetched")
@@ -151,7 +153,7 @@ def deduped(docs: DataFrame, period: int = PERIOD, kept: bool = False, carry: li
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         out = {n: [] for n in ("n_lines", "n_removed", "kept_sha256", "text")}
         for text, words in zip(C.as_bytes(batch.column("text")), batch.column("words").to_pylist(), strict=True):
-            gone = {w & ((1 << 48) - 1) for w in words or ()}
+            gone = set(words or ())
             lines, spans = spans_of(text, period, joined) if gone else (text.split(b"\n") if text else [], [])
             cut = {i for k in gone for i in range(*spans[k])}
             rest = [x for i, x in enumerate(lines) if i not in cut] if gone else lines
@@ -160,7 +162,7 @@ def deduped(docs: DataFrame, period: int = PERIOD, kept: bool = False, carry: li
                 out[n].append(v)
         yield out | {"doc_id": batch.column("doc_id")} | C.taken(batch)
 
-    frame = C.keyed(docs, carry=carry).join(found, ["doc_id", "tag"], "left")
+    frame = C.keyed(docs, carry=carry, several=several).join(found, ["doc_id", "tag"], "left")
     return C.mapped(frame, step, C.carried("doc_id long, n_lines long, n_removed long, kept_sha256 string" + ", text string" * kept, frame))
 
 

@@ -26,8 +26,8 @@ from . import common as C
 LENGTH = 50
 #: Perfect difference sets by period: every residue is the difference of two members.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18)}
-_ANCHORS = ("<u4", "<i8", "<u2", "<u4")
-_WINDOWS = ("<u8", "<u4", "<i8", "<u2", "<u4")
+_ANCHORS = ("<u4", "<i8", "<i8", "<u4")
+_WINDOWS = ("<u8", "<u4", "<i8", "<i8", "<u4")
 
 
 def period_for(length: int) -> int:
@@ -49,7 +49,7 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
     cache = C.WordHashes()
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        ids, tags = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy().astype(np.int64)
+        ids, tags = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
         values, which, first = word_rows(C.as_bytes(batch.column("text")), cache, length)
         if not len(which):
             return
@@ -67,21 +67,21 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
         many = np.maximum.reduceat(doc, cuts) != np.minimum.reduceat(doc, cuts)
         shared = np.repeat(many, np.diff(np.r_[cuts, len(g)]))
         if shared.any():
-            yield B.passing(doc[shared], (tag[shared] << 48) | at[shared])
+            yield B.passing(doc[shared], tag[shared], at[shared])
         send = ~shared
         send[cuts] = True  # one of each shared anchor tells other batches that it exists
         yield B.packed(((g[send] >> C.U64(32)) % n).astype(np.int64), [g[send] & C.U64(0xFFFFFFFF), doc[send], tag[send], at[send]], _ANCHORS)
 
-    return C.mapped(docs.where("doc_id is not null"), step, B.SCHEMA, 8 * C.STEP)
+    return C.mapped(docs.where("doc_id is not null"), step, B.SCHEMA, 2 * C.STEP)
 
 
-def meet(gram, doc, tag, at) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def meet(gram, doc, tag, at) -> Iterator[tuple[np.ndarray, ...]]:
     """Anchors that stand in two documents."""
     order = np.lexsort((doc, gram))
     gram, doc, tag, at = (x[order] for x in (gram, doc, tag, at))
     cuts = B.starts_of(gram)
     many = np.repeat(doc[cuts] != doc[np.r_[cuts[1:] - 1, len(gram) - 1]], np.diff(np.r_[cuts, len(gram)]))
-    yield doc[many], (tag[many].astype(np.int64) << 48) | at[many]
+    yield doc[many], tag[many], at[many].astype(np.int64)
 
 
 def windows(found: DataFrame, length: int) -> DataFrame:
@@ -90,14 +90,14 @@ def windows(found: DataFrame, length: int) -> DataFrame:
     cache = C.WordHashes()
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        ids, tags = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy().astype(np.int64)
+        ids, tags = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
         values, which, first = word_rows(C.as_bytes(batch.column("text")), cache, length)
         if not len(which):
             return
         words = batch.column("words").to_pylist()
         marked = np.zeros(len(values) + 1, np.int64)
         for k, i in enumerate(which.tolist()):
-            marked[first[k] + (np.array(words[i], np.int64) & ((1 << 48) - 1)) + 1] = 1
+            marked[first[k] + np.array(words[i], np.int64) + 1] = 1
         marked = np.cumsum(marked)
         sizes = np.diff(first)
         start = C.ranges(first[:-1], sizes - length + 1)
@@ -113,25 +113,25 @@ def windows(found: DataFrame, length: int) -> DataFrame:
         cuts = B.starts_of(g, check)
         later = doc > np.repeat(doc[cuts], np.diff(np.r_[cuts, len(g)]))
         if later.any():
-            yield B.passing(doc[later], (tag[later] << 48) | at[later])
+            yield B.passing(doc[later], tag[later], at[later])
         g, check, doc, tag, at = (x[~later] for x in (g, check, doc, tag, at))
         yield B.packed(((check >> C.U64(32)) % n).astype(np.int64), [g, check & C.U64(0xFFFFFFFF), doc, tag, at], _WINDOWS)
 
-    return C.mapped(found, step, B.SCHEMA, 8 * C.STEP)
+    return C.mapped(found, step, B.SCHEMA, 2 * C.STEP)
 
 
-def later(g, check, doc, tag, at) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def later(g, check, doc, tag, at) -> Iterator[tuple[np.ndarray, ...]]:
     """Windows that a document with a smaller id has too."""
     order = np.lexsort((doc, check, g))
     g, check, doc, tag, at = (x[order] for x in (g, check, doc, tag, at))
     cuts = B.starts_of(g, check)
     after = doc > np.repeat(doc[cuts], np.diff(np.r_[cuts, len(g)]))
-    yield doc[after], (tag[after].astype(np.int64) << 48) | at[after]
+    yield doc[after], tag[after], at[after].astype(np.int64)
 
 
 def deduped(docs: DataFrame, length: int = LENGTH, kept: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; with kept: the kept words and the removed spans (in words) too."""
-    keyed = C.keyed(docs)
+    keyed = C.keyed(docs, several=C.several(docs))
     anchors = C.staged(B.resolved(anchored(keyed, length), _ANCHORS, meet), "anchors")
     near = keyed.join(B.by_document(anchors), ["doc_id", "tag"])
     found = B.by_document(B.resolved(windows(near, length), _WINDOWS, later))
@@ -140,7 +140,7 @@ def deduped(docs: DataFrame, length: int = LENGTH, kept: bool = False) -> DataFr
         out = {n: [] for n in ("n_words", "n_removed", "kept_sha256", "starts", "ends", "kept")}
         for text, marks in zip(C.as_bytes(batch.column("text")), batch.column("words").to_pylist(), strict=True):
             words = text.split()
-            at = np.array(marks or [], np.int64) & ((1 << 48) - 1)
+            at = np.array(marks or [], np.int64)
             s, e = C.merged(at, at + length)
             rest = [w for a, b in zip([0, *e.tolist()], [*s.tolist(), len(words)], strict=True) for w in words[a:b]] if len(s) else words
             joined = b" ".join(rest)

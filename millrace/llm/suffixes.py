@@ -34,19 +34,19 @@ from . import common as C
 
 LENGTH = 100
 GRAM = 32
-#: A word: 15 bits of tag, 34 of position, 12 of further positions, 2 of kind.
+#: A word: 49 bits of position, 12 of further positions, 2 of kind.
 SETTLED, OPEN = 1, 2
-_TYPES = ("<u4", "<u4", "<u2", "<u2", "<u2", "<i8", "<u2", "<u4", "u1", "u1")
-_PAIRS = ("<u4", "<u4", "<u2", "<i8", "<u2", "<u4")
+_TYPES = ("<u4", "<u4", "<u2", "<u2", "<u2", "<i8", "<i8", "<u4", "u1", "u1")
+_PAIRS = ("<u4", "<u4", "<u2", "<i8", "<i8", "<u4")
 
 
-def word_of(tag, at, more, kind):
-    return (tag.astype(np.int64) << 48) | (at.astype(np.int64) << 14) | (more.astype(np.int64) << 2) | kind
+def word_of(at, more, kind):
+    return (at.astype(np.int64) << 14) | (more.astype(np.int64) << 2) | kind
 
 
 def fields(word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Position, further positions, kind."""
-    return (word >> 14) & ((1 << 34) - 1), (word >> 2) & 0xFFF, word & 3
+    return word >> 14, (word >> 2) & 0xFFF, word & 3
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -106,33 +106,33 @@ def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
     n = C.U64(B.count(docs))
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        ids, tags = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy().astype(np.int64)
+        ids, tags = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
         g, whole, left, right, doc, at, more, to_gram = anchors(C.as_bytes(batch.column("text")), length, gram)
         doc, tag = ids[doc], tags[doc]
         order = np.lexsort((at, tag, doc, whole, g))
         g, whole, left, right, doc, tag, at, more, to_gram = (x[order] for x in (g, whole, left, right, doc, tag, at, more, to_gram))
         first, rest = B.repeats((g, whole), (doc, tag, at))  # copies within the batch are settled before the shuffle
         if rest.any():
-            yield B.passing(doc[rest], word_of(tag[rest], at[rest], more[rest], SETTLED))
+            yield B.passing(doc[rest], tag[rest], word_of(at[rest], more[rest], SETTLED))
         if first.any():
             low, bits = C.U64(0xFFFFFFFF), C.U64(32)
             columns = [g & low, whole & low, whole >> C.U64(48), left & C.U64(0xFFFF), right & C.U64(0xFFFF), doc, tag, at, more, to_gram]
             yield B.packed(((g >> bits) % n).astype(np.int64)[first], [c[first] for c in columns], _TYPES, by=doc[first])
 
-    return C.mapped(docs.where("doc_id is not null"), step, B.SCHEMA, 8 * C.STEP)
+    return C.mapped(docs.where("doc_id is not null"), step, B.SCHEMA, 2 * C.STEP)
 
 
 def settling(length: int, gram: int):
     half = -(-(length - gram) // 2)
 
-    def settle(g, whole, high, left, right, doc, tag, at, more, to_gram) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def settle(g, whole, high, left, right, doc, tag, at, more, to_gram) -> Iterator[tuple[np.ndarray, ...]]:
         """Of equal runs all but the first are repeated. The first stays open where its gram has other runs that agree
         on the side of the gram that a window holds half of at least."""
         whole = whole.astype(np.uint64) | (high.astype(np.uint64) << C.U64(32))
         order = np.lexsort((at, tag, doc, whole, g))
         g, whole, left, right, doc, tag, at, more, to_gram = (x[order] for x in (g, whole, left, right, doc, tag, at, more, to_gram))
         new, rest = B.repeats((g, whole), (doc, tag, at))
-        yield doc[rest], word_of(tag[rest], at[rest], more[rest], SETTLED)
+        yield doc[rest], tag[rest], word_of(at[rest], more[rest], SETTLED)
         g, left, right, doc, tag, at, more, to_gram = (x[new] for x in (g, left, right, doc, tag, at.astype(np.int64), more.astype(np.int64), to_gram.astype(np.int64)))
         shared = []
         for side in (left, right):
@@ -145,7 +145,7 @@ def settling(length: int, gram: int):
         lo = np.where(shared[0], 0, np.maximum(0, to_gram - half + ((length - gram) % 2 == 1)))
         hi = np.where(shared[1], more, np.minimum(more, to_gram - half))
         open_ = (lo <= hi) & (shared[0] | shared[1])
-        yield doc[open_], word_of(tag[open_], (at + lo)[open_], (hi - lo)[open_], OPEN)
+        yield doc[open_], tag[open_], word_of((at + lo)[open_], (hi - lo)[open_], OPEN)
 
     return settle
 
@@ -183,26 +183,26 @@ def paired(open_texts: DataFrame, length: int) -> DataFrame:
             left, right, doc, tag, at = (x[order] for x in (left, right, doc, tag, at))
             new, rest = B.repeats((left, right), (doc, tag, at))
             if rest.any():
-                yield B.passing(doc[rest], word_of(tag[rest], at[rest], np.zeros(rest.sum(), np.int64), SETTLED))
+                yield B.passing(doc[rest], tag[rest], word_of(at[rest], np.zeros(rest.sum(), np.int64), SETTLED))
             left, right, doc, tag, at = (x[new] for x in (left, right, doc, tag, at))
             low = C.U64(0xFFFFFFFF)
             yield B.packed(((left >> C.U64(32)) % n).astype(np.int64), [left & low, right & low, right >> C.U64(48), doc, tag, at], _PAIRS, by=doc)
 
-    return C.mapped(open_texts, step, B.SCHEMA, 8 * C.STEP)
+    return C.mapped(open_texts, step, B.SCHEMA, 2 * C.STEP)
 
 
-def rerank(left, right, high, doc, tag, at) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def rerank(left, right, high, doc, tag, at) -> Iterator[tuple[np.ndarray, ...]]:
     """Rank pairs sorted: a pair of its own is unique; of equal pairs all but the first are repeated."""
     order = np.lexsort((at, tag, doc, high, right, left))
     left, right, high, doc, tag, at = (x[order] for x in (left, right, high, doc, tag, at))
     _, again = B.repeats((left, right, high), (doc, tag, at))
-    yield doc[again], word_of(tag[again], at[again], np.zeros(again.sum(), np.int64), SETTLED)
+    yield doc[again], tag[again], word_of(at[again], np.zeros(again.sum(), np.int64), SETTLED)
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with kept: the rest of the text (binary) and the spans too."""
     gram = min(length, max(gram, length - 255))
-    keyed = C.keyed(docs)
+    keyed = C.keyed(docs, several=C.several(docs))
     marks = C.staged(B.resolved(anchored(keyed, length, gram), _TYPES, settling(length, gram)), "runs")
     open_ = B.by_document(marks.where(F.col("word").bitwiseAND(3) == OPEN))
     again = B.resolved(paired(keyed.join(open_, ["doc_id", "tag"]), length), _PAIRS, rerank)

@@ -88,20 +88,25 @@ def test_parts_of_long_texts(spark, monkeypatch):
     assert b" ".join(common.cut(text.encode(), 64)).split() == text.encode().split()
 
 
-def passages(rows, n):
+def judged(rows, n):
+    """Of each row: doc_id, number of words, removed ones, digest of the rest."""
     words = [(d, re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())) for d, t in rows]
     first = {}
     for d, w in sorted(words, key=lambda r: r[0]):
         for i in range(len(w) - n + 1):
             first.setdefault(tuple(w[i : i + n]), d)
-    want = {}
+    out = []
     for d, w in words:
         gone = [False] * len(w)
         for i in range(len(w) - n + 1):
             if first[tuple(w[i : i + n])] < d:
                 gone[i : i + n] = [True] * n
-        want[d] = len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest()
-    return want
+        out.append((d, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest()))
+    return out
+
+
+def passages(rows, n):
+    return {d: tuple(rest) for d, *rest in judged(rows, n)}
 
 
 @pytest.mark.parametrize("length", [50, 5])
@@ -111,6 +116,35 @@ def test_repeated_passages(docs, rows, length):
     assert collected(found, "n_words", "n_removed", "kept_sha256") == passages(rows, length)
 
 
+def test_many_texts_under_one_id(spark):
+    """Hundreds of different texts of one doc_id, some of them repeated, are each told apart."""
+    shared = [prose(70) for _ in range(4)]
+    texts = [" ".join([prose(int(rng.integers(0, 30))), shared[i % 4] if i % 3 else "", prose(int(rng.integers(0, 200)))]) for i in range(400)]
+    rows = [(5, t) for t in texts] + [(5, texts[3]), (1, f"{shared[0]} {prose(5)}"), (9, f"{prose(4)} {shared[1]}"), (9, texts[7]), (5, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.deduped(df).collect())
+    assert got == sorted(judged(rows, 50))
+
+    order = {r.text or "": r.h for r in df.selectExpr("text", "xxhash64(coalesce(text, '')) as h").collect()}
+    seen, want = set(), {}
+    for d, t in sorted({(d, t or "") for d, t in rows}, key=lambda r: (r[0], order[r[1]])):
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone[p : p + 100] = True
+            seen.add(b[p : p + 100])
+        want[d, t] = d, len(b), int(gone.sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffixes.repeated(df).collect())
+    assert got == sorted(want[d, t or ""] for d, t in rows)
+
+    lines = spark.createDataFrame([(d, t and t.replace(" ", "\n")) for d, t in rows], "doc_id long, text string").repartition(4)
+    found = linechunks.deduped(lines, kept=True)
+    assert found.count() == len(rows)
+    assert {x for _, t in rows for x in (t or "").split()} == {x for r in found.collect() for x in r.text.split()}
+
+
 def test_covers():
     for period, cover in substrings.COVERS.items():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
