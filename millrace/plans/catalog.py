@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import config as conf
 from ..functions import dates, infer, numbers, similarity, text
-from ..operators import clean, header, layout, matching, report
-from . import providers, stores
+from ..operators import clean, header, matching, report
 from .model import CleanRules, Mapping, Template, TemplateColumn
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,7 +75,7 @@ def parse_number_currency(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", numbers.parse_number(mess).alias("value"))
 
 
-@query("SELECT c_custkey, cast(NULL as double) AS name_value, cast(NULL as double) AS segment_value, 2 AS errors FROM customer")
+@query("SELECT c_custkey, name_value, segment_value, (name_value IS NULL)::int + (segment_value IS NULL)::int AS errors FROM (SELECT c_custkey, try_cast(c_name || 'x' AS double) AS name_value, try_cast(c_mktsegment AS double) AS segment_value FROM customer)")
 def number_bad_format(spark, sf_dir):
     """Texts that are no numbers"""
     c = _t(spark, sf_dir, "customer")
@@ -127,7 +126,7 @@ def two_digit_year(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", dates.parse_date(s).alias("parsed"))
 
 
-@query("SELECT o_orderkey, cast(NULL as timestamp) AS parsed FROM orders")
+@query("""SELECT o_orderkey, try_strptime((['không phải ngày', '30/02/2000', 'today', '10:30', 'n/a', '', '32/13/2000'])[o_orderkey % 7 + 1], ['%d/%m/%Y', '%m/%d/%Y', '%Y-%m-%d', '%d.%m.%Y']) AS parsed FROM orders""")
 def date_bad_format(spark, sf_dir):
     """Texts that are no dates"""
     bad = F.element_at(F.array(*map(F.lit, ["không phải ngày", "30/02/2000", "today", "10:30", "n/a", "", "32/13/2000"])), (F.col("o_orderkey") % 7 + 1).cast("int"))
@@ -189,10 +188,6 @@ def indel_ratio(spark, sf_dir):
     return spark.createDataFrame(_PAIRS, "a string, b string").select("a", "b", F.round(similarity.indel_ratio(F.col("a"), F.col("b")), 6).alias("score"))
 
 
-@query()
-def name_score(spark, sf_dir):
-    """M3: the best of three ratios; held against brute force in the tests"""
-    return spark.createDataFrame(_PAIRS, "a string, b string").select("a", "b", similarity.name_score(F.col("a"), F.col("b")).alias("score"))
 
 
 _TYPES = tuple((t, s) for t in ("text", "date", "money", "price", "phone", None) for s in ("text", "date", "number", "email", "unknown", "code", None))
@@ -225,13 +220,6 @@ def mapping_conflict(spark, sf_dir):
     return matching.greedy(matching.score_pairs(template, sources)).select(F.posexplode("mappings").alias("pos", "m")).select("m.template_col", "pos", "m.source_col")
 
 
-@query("SELECT 'f' AS grp, x AS extra FROM (VALUES ('c_name'), ('c_nationkey')) AS v(x)")
-def extra_columns(spark, sf_dir):
-    """Source columns that no mapping uses"""
-    names = _t(spark, sf_dir, "customer").columns
-    sources = spark.createDataFrame([("f", c, i) for i, c in enumerate(names)], "group string, source_col string, s_pos int")
-    maps = spark.createDataFrame([("f", [(c, c, "exact", 100.0) for c in ("c_custkey", "c_acctbal", "c_mktsegment")])], "group string, mappings array<struct<template_col: string, source_col: string, match_source: string, confidence: double>>")
-    return matching.unmapped_sources(sources, maps).select(F.col("group").alias("grp"), F.explode("extra").alias("extra"))
 
 
 # ---------------------------------------------------------------- type inference
@@ -260,106 +248,6 @@ def sample_first20(spark, sf_dir):
     return header.samples(recs).select(F.col("name").alias("event_type"), F.col("row_idx").alias("event_id"), "value")
 
 
-# ---------------------------------------------------------------- grids
-
-_BOOK = [
-    ("b", "Data", 0, 0, ["BÁO CÁO", None, None, None, None]), ("b", "Data", 0, 1, ["Năm 2000", None, None, None, None]), ("b", "Data", 0, 2, [None] * 5),
-    ("b", "Data", 0, 3, ["Mã nhân viên", "Họ và tên", "Ngày sinh", "Lương", "SĐT"]), ("b", "Data", 0, 4, ["NV001", "Nguyễn An", "2000-02-01", "1.500.000", "0912345678"]),
-    ("b", "Data", 0, 5, ["NV002", "Trần Bình", "15/03/1999", "2.000.000", "0987654321"]), ("b", "Hidden", 1, 0, ["garbage"]),
-    ("t", "S", 0, 0, ["STT", 1, 2, 3]), ("t", "S", 0, 1, ["Tên", "An", "Bình", "Chi"]), ("t", "S", 0, 2, ["Số", "x", "y", "z"]),
-]
-
-
-def _grid(spark: SparkSession) -> DataFrame:
-    cell = lambda v: None if v is None else ("s", v, None) if isinstance(v, str) else ("n", str(v), float(v))
-    return spark.createDataFrame([(p, s, i, r, [cell(v) for v in cells]) for p, s, i, r, cells in _BOOK], f"source_path string, sheet string, sheet_idx int, row_idx bigint, cells array<{header.CELL}>")
-
-
-_CELLS = ", ".join(f"('{p}', '{s}', {r}, {k}, {'NULL' if v is None else repr(str(v))}, {isinstance(v, str)})" for p, s, _, r, cells in _BOOK for k, v in enumerate(cells))
-_SCORES = f"""cells AS (SELECT * FROM (VALUES {_CELLS}) AS v(source_path, sheet, row_idx, col, s, is_text)),
-n AS (SELECT source_path, sheet, row_idx, count(s) AS n, count(*) AS width, count(s) FILTER (is_text) / nullif(count(s), 0) AS textual, count(DISTINCT trim(s)) AS d FROM cells GROUP BY ALL),
-sc AS (SELECT *, CASE WHEN n < 2 THEN 0.0 ELSE 30.0 * n / width + 35.0 * textual + 25.0 * d / n
-  + CASE WHEN lead(n, 1) OVER w > 0 AND lead(textual, 1) OVER w < 0.85 THEN 10 ELSE 0 END + CASE WHEN lead(n, 2) OVER w > 0 AND lead(textual, 2) OVER w < 0.85 THEN 10 ELSE 0 END END::double AS score
-  FROM n WINDOW w AS (PARTITION BY source_path, sheet ORDER BY row_idx))"""
-
-
-@query(f"WITH {_SCORES} SELECT source_path, sheet, row_idx::bigint AS row_idx, score FROM sc")
-def header_score(spark, sf_dir):
-    """S6"""
-    return header.header_scores(_grid(spark)).select("source_path", "sheet", "row_idx", "score")
-
-
-@query(f"WITH {_SCORES} SELECT source_path, sheet, arg_max(row_idx, score * 1000 - row_idx)::bigint AS header_row FROM sc WHERE row_idx < 15 GROUP BY ALL")
-def header_detect(spark, sf_dir):
-    """S7"""
-    return header.header_rows(_grid(spark)).select("source_path", "sheet", "header_row")
-
-
-@query(f"""WITH {_SCORES}, f AS (SELECT source_path, sheet, least(count(s), 30) AS cells FROM cells GROUP BY ALL), b AS (SELECT source_path, sheet, max(score) AS best FROM sc WHERE row_idx < 15 GROUP BY ALL)
-SELECT source_path, arg_max(sheet, cells + CASE WHEN best > 55 THEN 20 ELSE 0 END) AS sheet, max(cells + CASE WHEN best > 55 THEN 20 ELSE 0 END)::int AS value FROM f JOIN b USING (source_path, sheet) GROUP BY source_path""")
-def sheet_pick(spark, sf_dir):
-    """S9"""
-    return header.best_sheets(_grid(spark)).select("source_path", "sheet", F.col("value").cast("int").alias("value"))
-
-
-@query("SELECT * FROM (VALUES ('b', 'Data', false), ('b', 'Hidden', false), ('t', 'S', true)) AS v(source_path, sheet, transposed)")
-def transpose_detect(spark, sf_dir):
-    """S8"""
-    return header.transposed(_grid(spark))
-
-
-@query(f"WITH cells AS (SELECT * FROM (VALUES {_CELLS}) AS v(source_path, sheet, row_idx, col, s, is_text)) SELECT (b.col - 1)::bigint AS row_idx, a.s AS name, b.s AS value FROM cells a JOIN cells b USING (source_path, sheet, row_idx) WHERE source_path = 't' AND a.col = 0 AND b.col > 0")
-def transpose(spark, sf_dir):
-    """S13"""
-    return header.transposed_records(_grid(spark).where("source_path = 't'")).select("row_idx", F.explode("values").alias("name", "value"))
-
-
-@query(f"WITH cells AS (SELECT * FROM (VALUES {_CELLS}) AS v(source_path, sheet, row_idx, col, s, is_text)) SELECT (b.row_idx - 4)::bigint AS row_idx, a.s AS name, b.s AS value FROM cells a JOIN cells b USING (source_path, sheet, col) WHERE sheet = 'Data' AND a.row_idx = 3 AND b.row_idx > 3")
-def read_frame(spark, sf_dir):
-    """S11, S14"""
-    grid = _grid(spark).where("sheet = 'Data'")
-    return header.records(grid, header.resolved_headers(grid)).select("row_idx", F.explode("values").alias("name", "value"))
-
-
-@query("""SELECT i, coalesce(nullif(trim(s), ''), last_value(nullif(trim(s), '') IGNORE NULLS) OVER (ORDER BY i), 'Unnamed: ' || i) AS name FROM (VALUES (0, NULL), (1, 'A'), (2, ''), (3, ' B '), (4, NULL), (5, NULL)) AS v(i, s)""")
-def fill_forward_header(spark, sf_dir):
-    """S10"""
-    cells = [None, ("s", "A", None), ("s", "", None), ("s", " B ", None), None, None]
-    df = spark.createDataFrame([(cells,)], f"cells array<{header.CELL}>")
-    return df.select(F.posexplode(header.clean_header(F.col("cells"))).alias("i", "name"))
-
-
-# ---------------------------------------------------------------- page layout
-
-_WORDS = [(1, w, x0, x1, y) for y, row in ((12.0, [("Ho", 0, 20), ("ten", 25, 40), ("Tuoi", 80, 100), ("Que", 150, 170)]), (31.0, [("An", 0, 15), ("30", 80, 95), ("Hue", 150, 170)]), (33.0, [("Bay", 200, 220)])) for w, x0, x1 in row]
-_WORD_VALUES = ", ".join(f"({p}, '{w}', {a}, {b}, {y})" for p, w, a, b, y in _WORDS)
-
-
-@query(f"""WITH w AS (SELECT *, round_even(top / 5, 0) * 5 AS y FROM (VALUES {_WORD_VALUES}) AS v(page, text, x0, x1, top)),
-g AS (SELECT *, sum(CASE WHEN x0 - p > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY page, y ORDER BY x0) AS cell FROM (SELECT *, lag(x1) OVER (PARTITION BY page, y ORDER BY x0) AS p FROM w))
-SELECT page, y::double AS y, cell::bigint AS cell, string_agg(text, ' ' ORDER BY x0) AS text FROM g GROUP BY ALL""")
-def word_cells(spark, sf_dir):
-    """D3: words of a line to cells"""
-    words = spark.createDataFrame([(p, w, float(a), float(b), y) for p, w, a, b, y in _WORDS], "page int, text string, x0 double, x1 double, top double")
-    rows = layout.word_rows(words, ["page"]).select("page", F.posexplode("rows").alias("r", "cells")).select("page", "r", F.posexplode("cells").alias("cell", "text"))
-    tops = spark.createDataFrame([(0, 10.0), (1, 30.0), (2, 35.0)], "r int, y double")
-    return rows.join(F.broadcast(tops), "r").select("page", "y", F.col("cell").cast("long").alias("cell"), "text")
-
-
-_BOXES = [(t, x, y, 20.0) for y, row in ((10.0, [("STT", 0), ("Tên", 100), ("Số", 200)]), (42.0, [("1", 0), ("Nguyễn", 100), ("An", 125), ("100", 200)]), (55.0, [("x", 300)]), (90.0, [("2", 0), ("Bình", 100), ("200", 200)])) for t, x in row]
-_BOX_VALUES = ", ".join(f"('{t}', {x}, {y}, {h})" for t, x, y, h in _BOXES)
-
-
-@query(f"""WITH b AS (SELECT * FROM (VALUES {_BOX_VALUES}) AS v(text, x, y, h)), m AS (SELECT list_sort(list(h))[count(*) // 2 + 1] AS m FROM b),
-l AS (SELECT *, sum(CASE WHEN abs(y - p) > 0.8 * m THEN 1 ELSE 0 END) OVER (ORDER BY y, x) AS line FROM (SELECT *, lag(y) OVER (ORDER BY y, x) AS p FROM b, m)),
-c AS (SELECT *, sum(CASE WHEN x - q >= 1.5 * m THEN 1 ELSE 0 END) OVER (PARTITION BY line ORDER BY x) AS cell FROM (SELECT *, lag(x) OVER (PARTITION BY line ORDER BY x) AS q FROM l))
-SELECT line::bigint AS line, cell::bigint AS cell, string_agg(text, ' ' ORDER BY x) AS text FROM c GROUP BY line, cell""")
-def ocr_rows(spark, sf_dir):
-    """Boxes to lines and cells"""
-    boxes = spark.createDataFrame([(1, t, float(x), y, h) for t, x, y, h in _BOXES], "page int, text string, x double, y double, h double")
-    return layout.box_rows(boxes, ["page"]).select(F.posexplode("rows").alias("line", "cells")).select(F.col("line").cast("long").alias("line"), F.posexplode("cells").alias("cell", "text")).withColumn("cell", F.col("cell").cast("long"))
-
-
 # ---------------------------------------------------------------- cleaning and reports
 
 _TEMPLATE = Template((
@@ -386,7 +274,7 @@ CASE WHEN o_orderkey % 13 <> 0 THEN strftime(o_orderdate, '%d/%m/%Y') END AS day
 @query(_CLEAN)
 def clean_orders(spark, sf_dir):
     """The flagship"""
-    return clean.apply_rules(_messy_orders(spark, sf_dir), _TEMPLATE, _MAPPINGS, CleanRules(normalize_unicode=False)).select("row_idx", *_TEMPLATE.names)
+    return clean.apply_rules(_messy_orders(spark, sf_dir), _TEMPLATE, _MAPPINGS, CleanRules()).select("row_idx", *_TEMPLATE.names)
 
 
 _ISSUES = """SELECT o_orderkey + 2 AS row, 'total' AS "column", 'error' AS severity, 'bad_format' AS type, '?' AS value FROM orders WHERE o_orderkey % 7 = 0
@@ -398,7 +286,7 @@ UNION ALL SELECT o_orderkey + 2, 'total', 'warning', 'missing_value', '0' FROM o
 @query(_ISSUES)
 def issues_long(spark, sf_dir):
     """A1, A2: the issue log"""
-    return clean.issue_log(clean.apply_rules(_messy_orders(spark, sf_dir), _TEMPLATE, _MAPPINGS, CleanRules(normalize_unicode=False))).select("row", "column", "severity", "type", "value")
+    return clean.issue_log(clean.apply_rules(_messy_orders(spark, sf_dir), _TEMPLATE, _MAPPINGS, CleanRules())).select("row", "column", "severity", "type", "value")
 
 
 @query(f"SELECT severity, type, count(*) AS n FROM ({_ISSUES}) GROUP BY ALL")
@@ -411,8 +299,8 @@ def issue_counts(spark, sf_dir):
 def clean_stats(spark, sf_dir):
     """A1: cells changed and defaults filled in (key and total alone: all keys and totals change)"""
     template = Template(tuple(c for c in _TEMPLATE.columns if c.name in ("key", "total")))
-    own = clean.apply_rules(_messy_orders(spark, sf_dir), template, _MAPPINGS, CleanRules(normalize_unicode=False))
-    both = clean.apply_rules(_messy_orders(spark, sf_dir), _TEMPLATE, _MAPPINGS, CleanRules(normalize_unicode=False))
+    own = clean.apply_rules(_messy_orders(spark, sf_dir), template, _MAPPINGS, CleanRules())
+    both = clean.apply_rules(_messy_orders(spark, sf_dir), _TEMPLATE, _MAPPINGS, CleanRules())
     return own.agg(F.sum("cleaned_cells").alias("total_or_key")).crossJoin(both.agg(F.sum("filled_defaults").alias("filled")))
 
 
@@ -442,34 +330,12 @@ def reorder_project(spark, sf_dir):
 
 # ---------------------------------------------------------------- stores, providers, settings
 
-_KEYS = (["Ma_NV", "Tên", "Ngày sinh"], ["Ngay sinh", "Ten", "Mã-NV"], ["x"])
-_KEY_VALUES = ", ".join(f"({i}, [{', '.join(repr(c) for c in cols)}])" for i, cols in enumerate(_KEYS))
-_NORM = "trim(regexp_replace(replace(replace(lower(strip_accents(c)), '_', ' '), '-', ' '), ' +', ' ', 'g'))"
 
 
-@query(f"SELECT i, sha256('t.xlsx::' || array_to_string(list_sort(list_transform(cols, lambda c: {_NORM})), '|')) AS key FROM (VALUES {_KEY_VALUES}) AS v(i, cols)")
-def preset_key(spark, sf_dir):
-    """M15"""
-    df = spark.createDataFrame(list(enumerate(_KEYS)), "i int, cols array<string>")
-    return df.select("i", stores.preset_key(F.lit("t.xlsx"), F.col("cols")).alias("key"))
 
 
-@query(f"SELECT i, sha256('m|' || array_to_string(list_sort(list_transform(cols, lambda c: {_NORM} || '=')), '|') || '|' || array_to_string(list_sort(list_transform(cols, lambda c: {_NORM} || '=')), '|')) AS key FROM (VALUES {_KEY_VALUES}) AS v(i, cols)")
-def cache_key(spark, sf_dir):
-    """M10"""
-    df = spark.createDataFrame(list(enumerate(_KEYS)), "i int, cols array<string>")
-    tags = providers.tags(F.col("cols"), F.create_map().cast("map<string, string>"))
-    return df.select("i", providers.key_column("m", tags, tags).alias("key"))
 
 
-@query("SELECT template_col, alias FROM (VALUES ('Mã NV', 'msnv'), ('Ngày sinh', 'dob'), ('Ngày sinh', 'ngay de')) AS v(template_col, alias)")
-def synonym_store(spark, sf_dir):
-    """Changed pairs are learnt in normal form, each once"""
-    schema = "template_col string, source_col string"
-    before = spark.createDataFrame([("Mã NV", None), ("Ngày sinh", "DOB"), ("Tên", "Ten")], schema)
-    after = spark.createDataFrame([("Mã NV", "MSNV"), ("Ngày sinh", "Ngày-đẻ"), ("Tên", "Ten")], schema)
-    store = spark.createDataFrame([("Ngày sinh", "dob")], stores.SYNONYMS)
-    return stores.add_synonyms(store, stores.learned(before, after)).withColumn("alias", F.regexp_replace("alias", "đ", "d"))
 
 
 _DEFAULTS = ("", "True", "false", "12", "-7", "1.5", "1e3", "abc", " x ", "12a")
@@ -495,3 +361,6 @@ def path_translate(spark, sf_dir):
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messy orders cleaned to a template of five columns, with what was wrong."""
     return clean.apply_rules(_messy_orders(spark, sf_dir), _TEMPLATE, _MAPPINGS).select("row_idx", *_TEMPLATE.names, F.size("issues").alias("n_issues"))
+
+
+from . import catalog_files  # noqa: E402, F401  registers its queries
