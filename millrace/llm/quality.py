@@ -217,11 +217,11 @@ def classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
     site = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((host, "host"), (path, "path"))]
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, *site, *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry")] if carry else []))
-    sites, overall = rates(evidence(frame.drop("carry"), model))
+    scored = C.staged(evidence(frame, model), "evidence")  # each text is read and scored once
+    sites, overall = rates(scored)
     sites = C.staged(sites, "sites")
     if sites.count() <= SITES:
         sites = F.broadcast(sites)
-    scored = evidence(frame, model)
     odds = lambda p: F.log(p / (1 - p))
     p, rate = (F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(c))) for c in ("p", "path_rate"))
     score = 1 / (1 + F.exp(odds(p) + odds(rate) - float(np.log(overall / (1 - overall)))))
