@@ -26,28 +26,52 @@ from .fmindex import FmIndex
 
 #: Words of a phrase.
 WINDOW = 10
-#: Bytes of benchmark text in one broadcast; a larger benchmark is searched block by block.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text in one broadcast; a larger benchmark is searched block by block. Driver and worker hold some 20 times as much.
+BLOCK_BYTES = 8 << 20
+#: Blocks that are searched in one chain of passes; after it the rows are written and read again.
+CHAINED = 4
+#: Phrases that are searched at once.
+LOT = 1 << 16
 
 
 class Phrases:
-    """Distinct phrases of one block of the benchmark, by length, and the items each stands in."""
+    """Distinct phrases of one block of the benchmark, as places in its sequence of words, by length, and the items each stands in."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         self.vocab: dict[bytes, int] = {}
         self.names = sorted({i for i, _ in items if i is not None})
-        at, own = {n: k for k, n in enumerate(self.names)}, {}
+        at = {n: k for k, n in enumerate(self.names)}
+        ids, starts, lengths, owners, first = [], [], [], [], 0
         for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in C.fold(text).split()]
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                own.setdefault(tuple(ids[k : k + window]), set()).add(at.get(item, -1))
+            words = C.fold(text).split()
+            if not words:
+                continue
+            ids.append(np.fromiter((self.vocab.setdefault(w, len(self.vocab) + 1) for w in words), np.int32, len(words)))
+            n = max(1, len(words) - window + 1)
+            starts.append(np.arange(first, first + n))
+            lengths.append(np.full(n, min(window, len(words))))
+            owners.append(np.full(n, at.get(item, -1)))
+            first += len(words)
+        self.ids = np.concatenate(ids) if ids else np.empty(0, np.int32)
+        #: Length, places, and the items (offsets and numbers) of the phrases of each length.
         self.by_length: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
-        for n in sorted({len(p) for p in own}):
-            some = [p for p in own if len(p) == n]
-            lists = [sorted(x for x in own[p] if x >= 0) for p in some]
-            self.by_length.append((n, np.array(some, np.int64), np.r_[0, np.cumsum([len(x) for x in lists])], np.array([x for y in lists for x in y], np.int64)))
+        if ids:
+            self.group(*map(np.concatenate, (starts, lengths, owners)))
         self.least = min((n for n, *_ in self.by_length), default=0)
 
+    def group(self, starts: np.ndarray, lengths: np.ndarray, owners: np.ndarray) -> None:
+        """Equal phrases, by two 64-bit hashes, as one."""
+        values = C.mix(self.ids.astype(C.U64))
+        one, two = C.Rolling(values).spans(starts, starts + lengths), C.Rolling(C.mix(values), 1).spans(starts, starts + lengths)
+        for n in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == n)
+            own = own[np.lexsort((owners[own], two[own], one[own]))]
+            new = np.r_[True, (one[own][1:] != one[own][:-1]) | (two[own][1:] != two[own][:-1])]
+            which, item = np.cumsum(new) - 1, owners[own]
+            named = (item >= 0) & (new | np.r_[True, item[1:] != item[:-1]])
+            counts = np.bincount(which[named], minlength=int(new.sum()))
+            self.by_length.append((n, starts[own][new], np.r_[0, np.cumsum(counts)], item[named]))
+
 
 def hits(phrases: Phrases, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a shard: spans' starts and ends (in all words, a separator after each document), documents' first words; (document, item) pairs."""
@@ -65,18 +89,25 @@ def hits(phrases: Phrases, words: list[list[bytes]]) -> tuple[np.ndarray, np.nda
         return empty, empty, first, empty, empty
     place = C.ranges(from_, count)
     index = FmIndex(seq[place])
-    s, e, docs, items = [], [], [], []
+    # only phrases all of whose words the shard holds can occur
+    here = np.zeros(len(phrases.vocab) + 1, bool)
+    here[seq[place]] = True
+    absent = np.r_[0, np.cumsum(~here[phrases.ids])]
+    s, e, docs, items = [empty], [empty], [empty], [empty]
     for n, rows, offsets, named in phrases.by_length:
-        which, at = index.find(rows)
-        start = place[at]
-        s.append(start)
-        e.append(start + n)
-        doc = np.searchsorted(first, start, side="right") - 1
-        pair = np.unique(doc * len(rows) + which)
-        doc, which = pair // len(rows), pair % len(rows)
-        counts = offsets[which + 1] - offsets[which]
-        docs.append(np.repeat(doc, counts))
-        items.append(named[C.ranges(offsets[which], counts)])
+        may = np.flatnonzero(absent[rows + n] == absent[rows])
+        for a in range(0, len(may), LOT):
+            some = may[a : a + LOT]
+            which, at = index.find(phrases.ids[rows[some][:, None] + np.arange(n)].astype(np.int64))
+            start = place[at]
+            s.append(start)
+            e.append(start + n)
+            doc = np.searchsorted(first, start, side="right") - 1
+            pair = np.unique(doc * len(rows) + some[which])
+            doc, which = pair // len(rows), pair % len(rows)
+            counts = offsets[which + 1] - offsets[which]
+            docs.append(np.repeat(doc, counts))
+            items.append(named[C.ranges(offsets[which], counts)])
     s, e = C.merged(np.concatenate(s), np.concatenate(e))
     return s, e, first, np.concatenate(docs), np.concatenate(items)
 
@@ -94,11 +125,14 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """doc_id, n_words, n_hit, items (sorted strings), starts and ends of the removal spans (in words); with kept: and the rest
     of the text; carry: columns of docs to take along.
 
-    One narrow pass per benchmark block (one block up to 32 MB of test text), without a shuffle.
+    One narrow pass per benchmark block (one block up to 8 MB of test text), without a shuffle; written and read again after every CHAINED
+    blocks, so that no task holds more than a few workers and broadcasts at once.
     """
     sc = docs.sparkSession.sparkContext
     frame = C.keyed(docs, carry=carry).drop("tag").withColumns({"items": F.array().cast("array<string>"), "starts": F.array().cast("array<long>"), "ends": F.array().cast("array<long>")})
-    for items in blocks(benchmark):
+    for k, items in enumerate(blocks(benchmark)):
+        if k and k % CHAINED == 0:
+            frame = C.staged(frame, "searched")
         shared = sc.broadcast(Phrases(items, window))
 
         def step(batch: pa.RecordBatch, shared=shared) -> Iterator[dict]:

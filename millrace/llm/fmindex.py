@@ -60,7 +60,9 @@ class FmIndex:
         self.below = np.r_[0, np.cumsum(np.bincount(seq, minlength=int(seq.max(initial=0)) + 2))].astype(np.int64)
         #: A place is kept for every sample-th position and for each run's start, which no step crosses.
         kept = (order % sample == 0) | (self.bwt == 0)
-        self.place = np.where(kept, order, -1)
+        self.place = order[kept].astype(np.int32 if len(order) < 1 << 31 else np.int64)
+        bits = np.packbits(np.r_[kept, np.zeros(-len(kept) % 64, bool)], bitorder="little").view(np.uint64)
+        self.kept, self.before = bits, np.r_[0, np.cumsum(np.bitwise_count(bits))]
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows [lo, hi) of each phrase (a row of symbols above 0); empty if it doesn't occur."""
@@ -79,9 +81,10 @@ class FmIndex:
         """Position of each row, by steps back to a kept one."""
         out, left, row, steps = np.empty(len(rows), np.int64), np.arange(len(rows)), rows, 0
         while len(left):
-            at = self.place[row]
-            found = at >= 0
-            out[left[found]] = at[found] + steps
+            bits, bit = self.kept[row >> 6], (row & 63).astype(np.uint64)
+            found = (bits >> bit) & np.uint64(1) > 0
+            nth = self.before[row >> 6] + np.bitwise_count(bits & ((np.uint64(1) << bit) - np.uint64(1)))
+            out[left[found]] = self.place[nth[found]] + steps
             left, row = left[~found], row[~found]
             c = self.bwt[row]
             row = self.below[c] + self.wavelet.rank(c, row)
