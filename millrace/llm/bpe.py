@@ -3,7 +3,7 @@
 A word's parts stand side by side in one row and the ranks of adjacent pairs in another. The smallest rank
 is found by a scan, the boundary between its two parts is deleted, and the ranks left and right of it are
 looked up anew, until no adjacent pair has a rank. Words of one length form a rectangle, so each of these
-steps is one array operation over all words that are new in a batch.
+steps is one array operation over all words that are new in a batch. Words of more than LONG letters give the same parts by a heap.
 
 Null and empty texts have no ids and decode to the empty text; repeated rows are each encoded; other columns
 of the input aren't read. Text is never cut: a very long text is only a long list of words.
@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common as C
 
 _NONE = np.int64(1 << 40)
+#: Letters beyond which a word is merged by itself.
+LONG = 400
 
 
 class WordBpe:
     """Tables of a word-end BPE vocabulary (the JSON of the tokenizers library, given as text)."""
 
-    #: Entries of the table of words seen last.
-    MOST = 200_000
+    #: Entries of the table of words seen last, and their letters.
+    MOST, HEAVIEST = 200_000, 8 << 20
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -54,6 +57,7 @@ class WordBpe:
         found = "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))
         self.find_special = regex.compile(f"({found})") if found else None
         self.seen: dict[str, bytes] = {}
+        self.weight, self.pairs = 0, None
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.size + right
@@ -87,6 +91,29 @@ class WordBpe:
         if len(parts):
             yield which, parts
 
+    def merge_long(self, parts: list[int]) -> list[int]:
+        """The same of one long word: ranks wait in a heap, parts are linked; rewriting a long row at each merge would take its square."""
+        if self.pairs is None:
+            self.pairs = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        n, made, get, size = len(parts), self.made, self.pairs.get, self.size
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        ranks = self.rank(np.array(parts[:-1], np.int64), np.array(parts[1:], np.int64))
+        heap = [(r, i) for i, r in enumerate(ranks.tolist()) if r != _NONE]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            j = after[i]
+            if parts[i] < 0 or j >= n or get(parts[i] * size + parts[j]) != r:
+                continue  # one of the two has been merged since
+            parts[i], parts[j], after[i] = int(made[r]), -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (x := get(parts[i] * size + parts[after[i]])) is not None:
+                    heappush(heap, (x, i))
+            if (k := before[i]) >= 0 and (x := get(parts[k] * size + parts[i])) is not None:
+                heappush(heap, (x, k))
+        return [p for p in parts if p >= 0]
+
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of each word, as little-endian 32-bit integers."""
         out, by_length = [b""] * len(words), {}
@@ -95,6 +122,10 @@ class WordBpe:
         for n, own in by_length.items():
             if n == 0:
                 continue
+            if n > LONG:
+                for i in own:
+                    out[i] = np.array(self.merge_long([*map(self.vocab.__getitem__, words[i][:-1]), self.vocab[words[i][-1] + self.end]]), "<u4").tobytes()
+                continue
             for a in range(0, len(own), max(1, (1 << 18) // n)):
                 some = own[a : a + max(1, (1 << 18) // n)]
                 start = np.array([[*map(self.vocab.__getitem__, words[i][:-1]), self.vocab[words[i][-1] + self.end]] for i in some], np.int64)
@@ -114,6 +145,7 @@ class WordBpe:
         ids = dict(zip(new, self.words(new), strict=True))
         at = 0
         for chunk, n in zip(chunks, counts, strict=True):
+            self.weight += len(chunk)
             self.seen[chunk] = ids[words[at]] if n == 1 else b"".join(ids[w] for w in words[at : at + n])
             at += n
 
@@ -137,8 +169,9 @@ class WordBpe:
 
     def put(self, held: list, out: list[list[bytes]]) -> None:
         """Ids of at most twice MOST chunks, those not seen lately learnt together."""
-        if len(self.seen) > self.MOST:
+        if len(self.seen) > self.MOST or self.weight > self.HEAVIEST:
             self.seen.clear()
+            self.weight = 0
         seen = self.seen
         if new := [c for c in dict.fromkeys(c for _, part in held if not isinstance(part, str) for c in part) if c not in seen]:
             self.learn(new)
