@@ -40,8 +40,6 @@ TEMPLATES = (
     ("mit-text", "paragraph", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
 )
 THRESHOLD = 0.85
-#: Tokens of templates in one broadcast; more templates are scanned in further passes.
-BLOCK_TOKENS = 1 << 20
 #: Lines over which a short notice may be wrapped.
 WRAPPED = 3
 _PARAGRAPH = re.compile(rb"\n[ \t\r\f\v]*\n")
@@ -147,10 +145,11 @@ def frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, in
 
 
 def scanned(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+
+    templates: label, kind of block, text of each. They come with the call and are broadcast, some 100 bytes for each of their words.
+    """
     words = [w for _, _, t in templates for w in C.fold(t.encode()).split()] + [w for t, _ in phrases for w in C.fold(t.encode()).split()]
-    if len(words) > BLOCK_TOKENS:
-        raise ValueError(f"templates of more than {BLOCK_TOKENS} words: scan them in parts")
     keyed = C.keyed(docs).drop("tag")
     scanner = docs.sparkSession.sparkContext.broadcast(Scanner(templates, phrases, threshold, frequencies(keyed, frozenset(words))))
 
