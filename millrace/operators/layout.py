@@ -72,9 +72,11 @@ def box_tables(rows: DataFrame, by: list[str]) -> DataFrame:
     width = F.array_max(F.transform("rows", lambda r: F.size(r)))
     turn = (width >= 3) & (F.size("rows") >= 3) & (_others(F.col("rows")) >= 1) & (F.size("rows") > _others(F.col("rows")))
     first = F.array_position(F.transform("rows", lambda r: F.size(r) >= 2), F.lit(True))
-    below = F.slice("rows", F.greatest(first, F.lit(1)).cast("int"), F.size("rows"))
-    made = own.select(*by, F.when(turn, _turned(F.col("rows"))).when((first > 0) & (F.size(below) > 1), _straight(below)).alias("table"))
-    return made.where("table is not null")
+    # a column of its own, as each record looks up the names in it
+    own = own.withColumns({"__below": F.slice("rows", F.greatest(first, F.lit(1)).cast("int"), F.size("rows")), "__first": first, "__turn": turn})
+    straight = (F.col("__first") > 0) & (F.size("__below") > 1)
+    # the filter is on its conditions: one on the table itself would be moved down and make it once more, record by record
+    return own.where(F.col("__turn") | straight).select(*by, F.when(F.col("__turn"), _turned(F.col("rows"))).otherwise(_straight(F.col("__below"))).alias("table"))
 
 
 def ruled_tables(tables: DataFrame, by: list[str]) -> DataFrame:

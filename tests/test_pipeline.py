@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from millrace.operators import header, layout
 from millrace.operators.clean import apply_rules, issue_log, merged
-from millrace.plans import providers, stores
+from millrace.plans import providers, staging, stores
 from millrace.plans.model import AIConfig, CleanRules, Mapping, Settings, Template, TemplateColumn, load_meta, template_of
-from millrace.plans.pipeline import load_template, standardize
+from millrace.plans.pipeline import load_template, read_records, source_columns, standardize, standardize_records
 from millrace.sources import sinks
 from millrace.sources.decode import csv_rows, sheet_names, write_xlsx, xlsx_rows
 from millrace.sources.files import discover, engine
@@ -141,6 +141,93 @@ def test_replies():
     assert providers.parse_reply("{}", t, s) == {}
 
 
+def test_replies_of_other_forms():
+    t, s = ["A", "B: c"], ["x", "y -> z", "u"]
+    assert providers.parse_reply('[1, 2]\n- A -> "x",', t, s) == {"A": "x"}
+    assert providers.parse_reply('{"A": 5, "B: c": "x"}', t, s) == {"B: c": "x"}
+    assert providers.parse_reply("{broken\nA: x\nA: u}", t, s) == {"A": "x"}
+    assert providers.parse_reply('"A" [code] => y -> z', t, s) is None or providers.parse_reply('"A" [code] => y -> z', t, s) == {"A": "y -> z"}
+    assert providers.parse_reply("", t, s) is None
+
+
+def test_one_cache_key(spark):
+    """The cache asks once for headers that differ in case, marks and order, under the key that the column function gives."""
+    calls = []
+    suggester = providers.CachedSuggester(AIConfig(enabled=True, api_key="k", model="m"), lambda a, b: calls.append(1) or '{"A": "Ngày sinh"}')
+    suggester.suggest(["A"], ["Ngày sinh", "Họ_tên"])
+    suggester.suggest(["A"], ["HO TEN", "Ngay-sinh"])
+    assert len(calls) == 1
+    names = ["Ngày sinh", "  Họ_tên ", "ĐỊA-CHỈ", "ﬁ Ⅳ", "a\u00a0b"]
+    df = spark.createDataFrame([(names,)], "n array<string>")
+    tags = providers.tags(F.col("n"), F.create_map().cast("map<string, string>"))
+    assert df.select(providers.key_column("m", tags, F.array(F.lit("x=")))).first()[0] == providers.cache_key("m", names, ["x"])
+
+
+def test_chat_transport():
+    import io
+
+    asked = []
+
+    def opener(request, timeout):
+        asked.append((request.full_url, json.loads(request.data), timeout))
+        return io.BytesIO(json.dumps({"choices": [{"message": {"content": '{"A": "x"}'}}]}).encode())
+
+    suggester = providers.CachedSuggester(config := AIConfig(enabled=True, api_key="k", model="m", base_url="http://h/v1/"), providers.chat_transport(config, opener))
+    assert suggester.suggest(["A"], ["x"], {"A": "date"}, {"x": "text"}) == {"A": "x"}
+    url, body, timeout = asked[0]
+    assert url == "http://h/v1/chat/completions" and timeout == 60.0 and body["max_tokens"] == 300 and body["temperature"] == 0.0
+    assert "A [date]" in body["messages"][1]["content"] and "x [text]" in body["messages"][1]["content"]
+
+
+def test_typed_cells_of_a_workbook(spark):
+    """Numbers in a date column are dates by their days, numbers with a dot are decimal, booleans are neither."""
+    content = write_xlsx(["Ma_NV", "Ten", "Ngay sinh", "Luong"], iter([["A1", "An", 36557, 1.234], ["A2", "Binh", 36558.5, 20200101], ["A3", "Chi", "x", "1.234,5"], ["A4", "Dung", None, None]]))
+    files = spark.createDataFrame([("t.xlsx", bytearray(content))], "path string, content binary")
+    out = standardize(files, TEMPLATE)
+    assert [tuple(r)[2:] for r in out.table.orderBy("row_idx").collect()] == [("A1", "An", "01/02/2000", "1.234"), ("A2", "Binh", "02/02/2000", "2.0200101E7"), ("A3", "Chi", "x", "1234.5"), ("A4", "Dung", None, "0.0")]
+    assert {r.type: r.n for r in out.issues.groupBy("type").agg(F.count("*").alias("n")).collect()} == {"bad_format": 1, "missing_value": 1}
+    cell = lambda kind, s, d: (kind, s, d)
+    grid = spark.createDataFrame([("f", "s", 0, [cell("s", "Luong", None), cell("s", "Ngay sinh", None)]), *[("f", "s", i, [cell("b", "True", 1.0), cell("b", "True", 1.0)]) for i in (1, 2)]], header.GRID)
+    recs, names = read_records(grid)
+    typed = standardize_records(recs, names, TEMPLATE)
+    assert typed.issues.where("type = 'bad_format'").count() == 4
+    assert {r.inferred for r in source_columns(recs, names).collect()} == {"unknown"}
+
+
+def test_no_limit_on_rows_and_cells(spark, tmp_path):
+    """More rows than a million in a table, more cells than a hundred thousand in a row."""
+
+    def stored(df, name):  # constants would be folded by the optimizer, row by row
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    rows = spark.range(1).select(F.lit(1).alias("page"), F.concat(F.array(F.array(F.lit("a"), F.lit("b"))), F.transform(F.sequence(F.lit(1), F.lit(1_000_005)), lambda i: F.array(i.cast("string"), F.lit("x")))).alias("rows"))
+    assert layout.box_tables(stored(rows, "rows"), ["page"]).select(F.size("table.records").alias("n")).first().n == 1_000_005
+    wide = lambda label, kind, n: F.concat(F.array(F.struct(F.lit("s").alias("kind"), F.lit(label).alias("s"), F.lit(None).cast("double").alias("d"))), F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.struct(F.lit(kind).alias("kind"), i.cast("string").alias("s"), i.cast("double").alias("d"))))
+    cells = F.array(F.concat(wide("k", "s", 100_100), F.slice(wide("k", "n", 900_000), 2, 900_000)), wide("l", "s", 2), wide("m", "s", 2))
+    grid = spark.range(1).select(F.lit("f").alias("source_path"), F.lit("s").alias("sheet"), F.posexplode(cells).alias("row_idx", "cells"))
+    assert header.transposed(stored(grid, "grid")).first().transposed
+
+
+def test_staged_tables_need_a_shared_folder(spark):
+    at = staging.materialized(spark.range(3), "t")
+    assert at.count() == 3 and at.inputFiles()[0].startswith("file:")
+    files = at.inputFiles()
+    staging.clear(spark)
+    assert not any(__import__("os").path.exists(f.removeprefix("file://")) for f in files)
+
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master, applicationId = "local-cluster[2,1,1024]", "a"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda k, d=None: d)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        staging.folder(Cluster)
+
+
 def test_suggester_cache(tmp_path):
     calls = []
 
