@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -50,12 +51,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again; cuts the lineage."""
-    spark = df.sparkSession
+def staged(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+    """df written as Parquet to the shared folder and read again; cuts the lineage. large: the shuffle files behind it are
+    dropped at once, not only when the driver next collects its garbage."""
+    spark, schema = df.sparkSession, df.schema
     at = f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    if large:
+        del df
+        gc.collect()
+        spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(at)
 
 
 def clear(spark: SparkSession) -> None:

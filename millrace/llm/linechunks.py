@@ -145,9 +145,9 @@ def deduped(docs: DataFrame, period: int = PERIOD, kept: bool = False, carry: li
     """doc_id, n_lines, n_removed, kept_sha256; with kept: the rest of the text too; carry: columns of docs to take along; joined: see above."""
     several = C.several(docs)
     keyed = C.keyed(docs, several=several)
-    marks = C.staged(B.resolved(shared(keyed, period, joined), _CHUNKS, twice), "chunks")
+    marks = C.staged(B.resolved(shared(keyed, period, joined), _CHUNKS, twice), "chunks", large=True)
     # merge joins at every size: sides that happen to be small today are no reason for another plan
-    rows = C.staged(fetched(keyed.join(B.by_document(marks).hint("merge"), ["doc_id", "tag"]), period, joined), "fetched")
+    rows = C.staged(fetched(keyed.join(B.by_document(marks).hint("merge"), ["doc_id", "tag"]), period, joined), "fetched", large=True)
     found = B.by_document(compared(rows)).hint("merge")
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:

@@ -32,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_substrings": substrings.OP6_SQL,
         "op7_linechunks": linechunks.OP7_SQL,
         "op8_neighbours": neighbours.OP8_SQL,
+        "op10_suffixes": suffixes.OP10_SQL,
     }

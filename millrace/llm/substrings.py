@@ -132,7 +132,7 @@ def later(g, check, doc, tag, at) -> Iterator[tuple[np.ndarray, ...]]:
 def deduped(docs: DataFrame, length: int = LENGTH, kept: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; with kept: the kept words and the removed spans (in words) too."""
     keyed = C.keyed(docs, several=C.several(docs))
-    anchors = C.staged(B.resolved(anchored(keyed, length), _ANCHORS, meet), "anchors")
+    anchors = C.staged(B.resolved(anchored(keyed, length), _ANCHORS, meet), "anchors", large=True)
     near = keyed.join(B.by_document(anchors), ["doc_id", "tag"])
     found = B.by_document(B.resolved(windows(near, length), _WINDOWS, later))
 

@@ -159,10 +159,13 @@ def paired(open_texts: DataFrame, length: int) -> DataFrame:
         for doc, tag, text, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag")), C.as_bytes(batch.column("text")), batch.column("words").to_pylist(), strict=True):
             at, more, _ = fields(np.array(words, np.int64))
             s, e = C.merged(at, at + more + length)
+            places = np.unique(C.ranges(at, more + 1))
             for a, b in zip(s.tolist(), e.tolist(), strict=True):
                 for k in range(a, b - length + 1, C.STEP):
-                    lot.append((doc, tag, k, text[k : min(b, k + C.STEP + length - 1)]))
-                    if (size := size + len(lot[-1][3])) >= C.STEP:
+                    part = text[k : min(b, k + C.STEP + length - 1)]
+                    own = places[slice(*np.searchsorted(places, (k, k + len(part) - length + 1)))]  # between open positions stand settled ones
+                    lot.append((doc, tag, k, part, own - k))
+                    if (size := size + len(part)) >= C.STEP:
                         yield lot
                         lot, size = [], 0
         if lot:
@@ -173,8 +176,8 @@ def paired(open_texts: DataFrame, length: int) -> DataFrame:
             sizes = np.array([len(x[3]) for x in lot])
             first = np.r_[0, np.cumsum(sizes)[:-1]]
             data = np.frombuffer(b"".join(x[3] for x in lot), np.uint8)
-            at = C.ranges(first, sizes - length + 1)
-            part = np.repeat(np.arange(len(lot)), sizes - length + 1)
+            part = np.repeat(np.arange(len(lot)), [len(x[4]) for x in lot])
+            at = first[part] + np.concatenate([x[4] for x in lot])
             ranks = C.Rolling(C.BYTE_VALUES[0][data]), C.Rolling(C.BYTE_VALUES[1][data], 1)
             left, right = ranks[0].spans(at, at + half), ranks[1].spans(at + length - half, at + length)
             doc, tag, start = (np.array([x[k] for x in lot]) for k in range(3))
@@ -203,7 +206,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept: bool
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with kept: the rest of the text (binary) and the spans too."""
     gram = min(length, max(gram, length - 255))
     keyed = C.keyed(docs, several=C.several(docs))
-    marks = C.staged(B.resolved(anchored(keyed, length, gram), _TYPES, settling(length, gram)), "runs")
+    marks = C.staged(B.resolved(anchored(keyed, length, gram), _TYPES, settling(length, gram)), "runs", large=True)
     open_ = B.by_document(marks.where(F.col("word").bitwiseAND(3) == OPEN))
     again = B.resolved(paired(keyed.join(open_, ["doc_id", "tag"]), length), _PAIRS, rerank)
     found = B.by_document(marks.where(F.col("word").bitwiseAND(3) == SETTLED).union(again))
@@ -222,5 +225,18 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept: bool
     return C.mapped(keyed.join(found, ["doc_id", "tag"], "left"), step, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", starts array<long>, ends array<long>, kept binary" * kept)
 
 
+#: Every string of 100 bytes of every document, as hexadecimal digits.
+OP10_SQL = r"""WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+w AS (SELECT doc_id, unnest(ps) AS p, unnest(range(0, len(ps))) AS i FROM (SELECT doc_id, list_transform(range(0, len(x) // 2 - 99), lambda i: md5_number(substr(x, 2 * i + 1, 200))) AS ps FROM d WHERE len(x) >= 200)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY p ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
+runs AS (SELECT doc_id, min(i) AS s, max(i) + 100 AS e FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, (i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, -1))::INT AS new FROM again)) GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es FROM runs GROUP BY doc_id),
+k AS (SELECT doc_id, x, coalesce(ss, []) AS ss, coalesce(es, []) AS es FROM d LEFT JOIN cuts USING (doc_id))
+SELECT doc_id, cast(len(x) // 2 AS BIGINT) AS n_bytes, cast(coalesce(list_sum(es) - list_sum(ss), 0) AS BIGINT) AS n_removed, cast(len(ss) AS BIGINT) AS n_spans,
+       sha256(unhex(array_to_string(list_transform(range(0, len(ss) + 1), lambda j: substr(x, 2 * (CASE WHEN j = 0 THEN 0 ELSE es[j] END) + 1, 2 * ((CASE WHEN j = len(ss) THEN len(x) // 2 ELSE ss[j + 1] END) - (CASE WHEN j = 0 THEN 0 ELSE es[j] END)))), ''))) AS kept_sha256
+FROM k
+"""
+
+
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated(C.table(spark, sf_dir, "documents"))
