@@ -77,6 +77,13 @@ def by_document(marks: DataFrame) -> DataFrame:
     return marks.groupBy("doc_id", "tag").agg(F.collect_list("word").alias("words"))
 
 
+def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """docs with the words of their marks, null without any; only texts that may have marks are shuffled."""
+    near, rest = C.marked(docs, marks)
+    joined = near.join(by_document(marks).hint("merge"), ["doc_id", "tag"], "left").select(*docs.columns, "words")
+    return joined.union(rest.withColumn("words", F.lit(None).cast("array<long>")))
+
+
 def starts_of(*keys: np.ndarray) -> np.ndarray:
     """First rows of runs of equal keys."""
     new = np.zeros(len(keys[0]), bool)

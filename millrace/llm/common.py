@@ -106,6 +106,24 @@ def taken(batch: pa.RecordBatch) -> dict:
     return {"carry": batch.column("carry")} if "carry" in batch.schema.names else {}
 
 
+#: Bits of a bitmap of doc_ids (4 MB), whatever their number.
+BITMAP = 1 << 25
+
+
+def marked(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs in two: the rows whose doc_id may be among those of nodes, and the rows whose doc_id isn't.
+
+    A bitmap of the nodes' hashes, of bounded size, is broadcast, so that a join with what is known of some documents need
+    not shuffle the texts of all. More nodes than it has bits for only send more rows to the first part.
+    """
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
+    bits = staged(nodes.groupBy(F.shiftright(cell, 15).alias("__of")).agg(F.bitmap_construct_agg(cell.bitwiseAND(32767)).alias("__bits")), "bitmap")
+    at = docs.withColumn("__cell", cell).join(F.broadcast(bits), F.shiftright("__cell", 15) == F.col("__of"), "left")
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(shiftright(__cell & 32767, 3) as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("getbit", byte, F.col("__cell").bitwiseAND(7).cast("int")), F.lit(0)) == 1
+    return at.where(hit).select(*docs.columns), at.where(~hit).select(*docs.columns)
+
+
 # ---------------------------------------------------------------- batches
 
 

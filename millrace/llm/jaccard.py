@@ -33,8 +33,8 @@ NGRAM, PERCENT = 4, 85
 #: Frequent columns that are ordered last; any order gives the same links.
 FREQUENT = 1 << 18
 _ENTRIES = ("<u4", "<i8", "<u4", "<u4")
-#: Bits of a set's signature at least, and of the filter of candidates (at most 4 MB, whatever the number of documents).
-SIGNATURE, FILTER = 1 << 10, 1 << 25
+#: Bits of a set's signature at least.
+SIGNATURE = 1 << 10
 
 
 def ngrams(text: bytes, n: int, cache: C.WordHashes) -> np.ndarray:
@@ -178,17 +178,6 @@ def likely(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return both.where(may).select("a", "b").distinct()
 
 
-def among(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is a node. A bitmap of the nodes' hashes, of bounded size, keeps most other texts
-    from being shuffled; the merge join then settles it, at every size."""
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
-    bits = nodes.groupBy(F.shiftright(cell("doc_id"), 15).alias("__of")).agg(F.bitmap_construct_agg(cell("doc_id").bitwiseAND(32767)).alias("__bits"))
-    near = docs.withColumn("__cell", cell("doc_id")).join(F.broadcast(bits), F.shiftright("__cell", 15) == F.col("__of"))
-    byte = F.conv(F.hex(F.expr("substring(__bits, cast(shiftright(__cell & 32767, 3) as int) + 1, 1)")), 16, 10).cast("int")
-    near = near.where(F.call_function("getbit", byte, F.col("__cell").bitwiseAND(7).cast("int")) == 1).select(*docs.columns)
-    return near.join(nodes.hint("merge"), "doc_id")  # nodes are distinct; a semi join would be moved below the bitmap
-
-
 def counted(pairs: DataFrame, rows: DataFrame, docs: DataFrame, columns, n: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose whole sets meet the threshold."""
     cache = C.WordHashes()
@@ -199,7 +188,8 @@ def counted(pairs: DataFrame, rows: DataFrame, docs: DataFrame, columns, n: int,
     pairs = C.staged(likely(pairs, rows, percent), "likely")
     nodes = C.staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "nodes")
     # merge joins at every size: sides that happen to be small today are no reason for another plan
-    sets = C.mapped(among(docs, nodes), step, "doc_id long, columns array<long>")
+    near, _ = C.marked(docs, nodes)  # nodes are distinct; a semi join would be moved below the bitmap
+    sets = C.mapped(near.join(nodes.hint("merge"), "doc_id"), step, "doc_id long, columns array<long>")
     overlap = F.size(F.array_intersect("x", "y"))
     return (
         pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("columns").alias("x")).hint("merge"), "a")

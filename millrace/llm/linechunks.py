@@ -147,8 +147,9 @@ def deduped(docs: DataFrame, period: int = PERIOD, kept: bool = False, carry: li
     keyed = C.keyed(docs, several=several)
     marks = C.staged(B.resolved(shared(keyed, period, joined), _CHUNKS, twice), "chunks", large=True)
     # merge joins at every size: sides that happen to be small today are no reason for another plan
-    rows = C.staged(fetched(keyed.join(B.by_document(marks).hint("merge"), ["doc_id", "tag"]), period, joined), "fetched", large=True)
-    found = B.by_document(compared(rows)).hint("merge")
+    near = C.marked(keyed, marks)[0].join(B.by_document(marks).hint("merge"), ["doc_id", "tag"])
+    rows = C.staged(fetched(near, period, joined), "fetched", large=True)
+    found = C.staged(compared(rows), "removed", large=True)
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         out = {n: [] for n in ("n_lines", "n_removed", "kept_sha256", "text")}
@@ -162,7 +163,7 @@ def deduped(docs: DataFrame, period: int = PERIOD, kept: bool = False, carry: li
                 out[n].append(v)
         yield out | {"doc_id": batch.column("doc_id")} | C.taken(batch)
 
-    frame = C.keyed(docs, carry=carry, several=several).join(found, ["doc_id", "tag"], "left")
+    frame = B.with_marks(C.keyed(docs, carry=carry, several=several), found)
     return C.mapped(frame, step, C.carried("doc_id long, n_lines long, n_removed long, kept_sha256 string" + ", text string" * kept, frame))
 
 

@@ -133,8 +133,8 @@ def deduped(docs: DataFrame, length: int = LENGTH, kept: bool = False) -> DataFr
     """doc_id, n_words, n_removed, kept_sha256; with kept: the kept words and the removed spans (in words) too."""
     keyed = C.keyed(docs, several=C.several(docs))
     anchors = C.staged(B.resolved(anchored(keyed, length), _ANCHORS, meet), "anchors", large=True)
-    near = keyed.join(B.by_document(anchors), ["doc_id", "tag"])
-    found = B.by_document(B.resolved(windows(near, length), _WINDOWS, later))
+    near = C.marked(keyed, anchors)[0].join(B.by_document(anchors).hint("merge"), ["doc_id", "tag"])
+    found = C.staged(B.resolved(windows(near, length), _WINDOWS, later), "removed", large=True)
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         out = {n: [] for n in ("n_words", "n_removed", "kept_sha256", "starts", "ends", "kept")}
@@ -148,7 +148,7 @@ def deduped(docs: DataFrame, length: int = LENGTH, kept: bool = False) -> DataFr
                 out[n].append(v)
         yield out | {"doc_id": batch.column("doc_id")}
 
-    return C.mapped(keyed.join(found, ["doc_id", "tag"], "left"), step, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", starts array<long>, ends array<long>, kept string" * kept)
+    return C.mapped(B.with_marks(keyed, found), step, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", starts array<long>, ends array<long>, kept string" * kept)
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,9 +207,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept: bool
     gram = min(length, max(gram, length - 255))
     keyed = C.keyed(docs, several=C.several(docs))
     marks = C.staged(B.resolved(anchored(keyed, length, gram), _TYPES, settling(length, gram)), "runs", large=True)
-    open_ = B.by_document(marks.where(F.col("word").bitwiseAND(3) == OPEN))
-    again = B.resolved(paired(keyed.join(open_, ["doc_id", "tag"]), length), _PAIRS, rerank)
-    found = B.by_document(marks.where(F.col("word").bitwiseAND(3) == SETTLED).union(again))
+    open_ = marks.where(F.col("word").bitwiseAND(3) == OPEN)
+    near = C.marked(keyed, open_)[0].join(B.by_document(open_).hint("merge"), ["doc_id", "tag"])
+    again = C.staged(B.resolved(paired(near, length), _PAIRS, rerank), "again", large=True)
+    found = marks.where(F.col("word").bitwiseAND(3) == SETTLED).union(again)
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         out = {n: [] for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends", "kept")}
@@ -222,7 +223,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept: bool
                 out[n].append(v)
         yield out | {"doc_id": batch.column("doc_id")}
 
-    return C.mapped(keyed.join(found, ["doc_id", "tag"], "left"), step, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", starts array<long>, ends array<long>, kept binary" * kept)
+    return C.mapped(B.with_marks(keyed, found), step, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", starts array<long>, ends array<long>, kept binary" * kept)
 
 
 #: Every string of 100 bytes of every document, as hexadecimal digits.
