@@ -28,7 +28,8 @@ from . import common as C
 SAMPLE = 20_000
 #: Words and beginnings chosen for each model.
 FEATURES = 512
-KEEP = 0.5
+#: On labels held out from the fit (sf0.1, three folds) 0.6 keeps 0.5 % of junk and 2.7 % of toxic documents and rejects none of 3027 clean ones.
+KEEP = 0.6
 #: Sites whose rates are broadcast; beyond, they are joined by a shuffle.
 SITES = 200_000
 _UPPER, _LOWER, _DIGIT = (bytes(range(*r)) for r in ((65, 91), (97, 123), (48, 58)))

@@ -1,12 +1,14 @@
 """Operators without an exact SQL statement, and the pipeline."""
 
+import re
 import time
+from itertools import combinations
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from millrace.llm import html, neighbours, quality
+from millrace.llm import html, linechunks, neighbours, quality
 
 
 def brute(rows, k=10, every=100, size=6):
@@ -236,6 +238,57 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean(good) >= 0.97 and np.mean(junk) <= 0.2
 
 
+def posteriors(rows, p):
+    """rows: host, path. The whole of the hierarchy again, in numpy: posterior of being good of each row."""
+    p = np.array(p)
+    overall = min(max(p.mean(), 1e-4), 1 - 1e-4)
+
+    def strength(bad, n, prior):
+        bad, n, prior = map(np.array, (bad, n, prior))
+        if len(n) < 2:
+            return 100.0
+        m = min(max(prior.mean(), 1e-4), 1 - 1e-4)
+        q = (n * (bad / n - prior) ** 2).sum()
+        spread = max((q - (len(n) - 1) * m * (1 - m)) / max(n.sum() - (n * n).sum() / n.sum(), 1e-9), 1e-6)
+        return min(max(m * (1 - m) / spread - 1, 1.0), 1e6)
+
+    sums = {}
+    for site, x in zip(rows, p.tolist(), strict=True):
+        for key in (site, site[:1]):
+            b, n = sums.get(key, (0.0, 0))
+            sums[key] = b + x, n + 1
+    hosts = [k for k in sums if len(k) == 1]
+    k = strength([sums[h][0] for h in hosts], [sums[h][1] for h in hosts], [overall] * len(hosts))
+    host = {h: (sums[h][0] + k * overall) / (sums[h][1] + k) for h in hosts}
+    paths = [x for x in sums if len(x) == 2]
+    k = strength([sums[x][0] for x in paths], [sums[x][1] for x in paths], [host[x[:1]] for x in paths])
+    path = {x: (sums[x][0] + k * host[x[:1]]) / (sums[x][1] + k) for x in paths}
+    clip, odds = (lambda x: min(max(x, 1e-6), 1 - 1e-6)), lambda x: np.log(x / (1 - x))
+    return [1 / (1 + np.exp(odds(clip(x)) + odds(clip(path[site])) - odds(overall))) for site, x in zip(rows, p.tolist(), strict=True)]
+
+
+def test_quality_against_numpy(spark):
+    """Every score and decision from the evidence model's own answer for each text, and the hierarchy computed again."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = quality.trained(docs, labels)
+    rows = docs.select("doc_id", "text", "lang", "source").collect()
+    want = dict(zip([r.doc_id for r in rows], posteriors([(r.source or "", r.lang or "") for r in rows], [model.bad((r.text or "").encode()) for r in rows]), strict=True))
+    got = quality.classified(docs, labels).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert abs(r.score - want[r.doc_id]) < 1e-6 and r.keep == (r.score >= quality.KEEP)
+
+
+def test_toxic_documents_on_held_out_labels(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    held = "pmod(xxhash64(doc_id), 3) = 1"
+    rows = quality.classified(docs, labels.where(f"not ({held})")).join(labels.where(held), "doc_id").collect()
+    assert np.mean([r.keep for r in rows if r.toxic == 1]) <= 0.08
+    assert np.mean([r.keep for r in rows if r.quality == 1 and r.toxic == 0]) >= 0.995
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame([(1, "a b", None, "s"), (2, None, "en", None), (None, "", "x", "y"), (1, "a b", "en", "s")], "doc_id long, text string, lang string, source string")
@@ -271,6 +324,98 @@ def test_pipeline(spark, sf_dir, monkeypatch):
     assert counts == sorted(counts, reverse=True) and n > 0.5 * counts[0]
 
 
+def fold(text):
+    return [(m.start(), m.end(), m[0].lower()) for m in re.finditer(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())]
+
+
+def test_pipeline_against_brute_force(spark, sf_dir):
+    """run() against each stage by plain loops, one after the other, down to the ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = docs.select("doc_id", "text", "lang", "source").collect()
+    assert len({r.doc_id for r in rows}) == len(rows)
+    # 9: evidence of the fitted model, the hierarchy by numpy
+    model = quality.trained(docs, labels)
+    score = posteriors([(r.source or "", r.lang or "") for r in rows], [model.bad((r.text or "").encode()) for r in rows])
+    texts = {r.doc_id: (r.text or "").encode() for r, x in zip(rows, score, strict=True) if x >= quality.KEEP}
+    assert len(texts) < len(rows)
+    # 7: all but the first of equal chunks
+    seen, after = set(), {}
+    for d in sorted(texts):
+        lines, spans = linechunks.spans_of(texts[d], linechunks.PERIOD, True)
+        gone = set()
+        for a, b in spans:
+            whole = b"\n".join(lines[a:b])
+            if b - a > 1 and whole.strip():
+                if whole in seen:
+                    gone |= set(range(a, b))
+                seen.add(whole)
+        left = b"\n".join(x for i, x in enumerate(lines) if i not in gone)
+        if not gone or left.strip():
+            after[d] = left
+    assert sum(map(len, after.values())) < sum(map(len, texts.values()))
+    # 3: the smallest of each component at 0.8 of five words
+    sets = {}
+    for d, t in after.items():
+        w = re.findall(rb"[^\x20\x09-\x0D]+", t.lower())
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    kept = {d: t for d, t in after.items() if find(d) == d}
+    assert len(kept) < len(after)
+    # 2: words within any occurrence of ten words of an item
+    phrases = set()
+    for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect():
+        w = [x for *_, x in fold((r.text or "").encode())]
+        phrases |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+    clean, n_hit = {}, 0
+    for d, t in kept.items():
+        w = fold(t)
+        hit = np.zeros(len(w) + 1, bool)
+        for n in {len(p) for p in phrases}:
+            for i in range(len(w) - n + 1):
+                if tuple(x for *_, x in w[i : i + n]) in phrases:
+                    hit[i : i + n] = True
+        parts, at = [], 0
+        for i in range(len(w)):
+            if hit[i] and not (i and hit[i - 1]):
+                parts.append(t[at : w[i][0]])
+            if hit[i] and not hit[i + 1]:
+                at = w[i][1]
+        left = b" ".join([*parts, t[at:]])
+        n_hit += int(hit.sum())
+        if not hit.any() or left.strip():
+            clean[d] = left
+    assert n_hit > 0
+    # 5
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {d: lib.encode(t.decode(), add_special_tokens=False).ids for d, t in clean.items()}
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert got.keys() == want.keys()
+    assert got == want
+
+
+@pytest.mark.parametrize("empty", ["documents", "labels", "benchmark"])
+def test_pipeline_on_empty_tables(spark, sf_dir, tmp_path, empty):
+    for name in ("documents", "labels", "benchmark"):
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        df.where("false" if name == empty else "true").write.parquet(f"{tmp_path}/{name}.parquet")
+    n = corpus_pipeline.run(spark, str(tmp_path)).count()
+    assert (n == 0) == (empty == "documents")
+
+
 def test_stages_on_odd_rows(spark, sf_dir):
     rows = [(1, "a b c d e f g", "en", "s", 13), (1, "a b c d e f g", "en", "s", 13), (2, "a b c d e f g", "en", "s", 13), (None, None, None, None, None), (3, "", "en", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
