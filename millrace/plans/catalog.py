@@ -201,23 +201,8 @@ def type_bonus(spark, sf_dir):
     return spark.createDataFrame(_TYPES, "t string, s string").select("t", "s", similarity.type_bonus(F.col("t"), F.col("s")).alias("bonus"))
 
 
-@query("""SELECT * FROM (VALUES ('f1', 'Mã NV', 'Ma_NV', 'exact', 100.0::double), ('f1', 'Tên', 'Ten', 'exact', 100.0), ('f1', 'Ngày sinh', 'DOB', 'synonym', 100.0), ('f1', 'Lương', 'Luong', 'exact', 100.0),
-('f2', 'Mã NV', NULL, 'unmapped', 0.0), ('f2', 'Tên', NULL, 'unmapped', 0.0), ('f2', 'Ngày sinh', NULL, 'unmapped', 0.0), ('f2', 'Lương', NULL, 'unmapped', 0.0)) AS v("group", template_col, source_col, match_source, confidence)""")
-def greedy_mapping(spark, sf_dir):
-    """M4 to M6: names of two files against one template"""
-    template = spark.createDataFrame([("Mã NV", "text", 0), ("Tên", "text", 1), ("Ngày sinh", "date", 2), ("Lương", "number", 3)], "template_col string, data_type string, t_pos int")
-    cols = [("f1", c, t, i) for i, (c, t) in enumerate([("Ma_NV", "code"), ("Ten", "text"), ("DOB", "date"), ("Luong", "number"), ("Phu chu", "text")])] + [("f2", "xxx", "unknown", 0), ("f2", "yyy", "unknown", 1)]
-    sources = spark.createDataFrame(cols, "group string, source_col string, inferred string, s_pos int")
-    synonyms = spark.createDataFrame([("Ngày sinh", "dob")], "template_col string, alias string")
-    return matching.greedy(matching.score_pairs(template, sources, synonyms)).select("group", F.inline("mappings"))
-
-
-@query("""SELECT * FROM (VALUES ('c_custkey', 0, 'c_custkey'), ('c_acctbal', 1, 'c_acctbal'), ('c_mktsegment', 2, NULL)) AS v(template_col, pos, source_col)""")
-def mapping_conflict(spark, sf_dir):
-    """M6: a source is used once, also where a later column would like it"""
-    template = spark.createDataFrame([("c_custkey", None, 0), ("c_acctbal", "number", 1), ("c_mktsegment", None, 2)], "template_col string, data_type string, t_pos int")
-    sources = spark.createDataFrame([("f", "c_custkey", "number", 0), ("f", "c_acctbal", "number", 1)], "group string, source_col string, inferred string, s_pos int")
-    return matching.greedy(matching.score_pairs(template, sources)).select(F.posexplode("mappings").alias("pos", "m")).select("m.template_col", "pos", "m.source_col")
+
+
 
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType
 from ..functions import config as conf
 from ..functions import dates, similarity, text
 from ..operators import header, layout
-from ..operators.matching import score_pairs
+from ..operators.matching import greedy, score_pairs
 from ..sources import documents, sinks
 from ..sources.files import discover, engine, grids
 from . import providers, staging, stores
@@ -416,6 +416,24 @@ def pair_scores(spark, sf_dir):
     return score_pairs(template, sources, synonyms).select("template_col", "source_col", F.round("score", 6).alias("score"))
 
 
+_TAKEN = f"""{_LCS}, t AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM p WHERE x NOT LIKE 'red %' AND x NOT LIKE 'hot %'), c AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS j FROM p WHERE x LIKE 'red %' OR x LIKE 'hot %'),
+cand AS (SELECT t.i, t.x AS template_col, c.j, c.x AS source_col, greatest(0.0, least(100.0, 0.55 * greatest(plain, sorted, sets) + 0.30 * overlap + CASE WHEN c.x LIKE 'red %' THEN 15.0 ELSE 0.0 END)) AS score FROM t, c, s WHERE s.a = t.x AND s.b = c.x),
+g AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS used, '' AS template_col, NULL::VARCHAR AS source_col, 0.0::DOUBLE AS confidence
+  UNION ALL SELECT i + 1, CASE WHEN top >= 35 THEN list_append(used, src) ELSE used END, col, CASE WHEN top >= 35 THEN src END, CASE WHEN top >= 35 THEN round(top, 1) ELSE 0.0 END
+  FROM (SELECT g.i, used, any_value(t.x) AS col, max(score) AS top, arg_max(cand.source_col, round(score * 1000000) * 1000 - j) AS src FROM g JOIN t ON t.i = g.i LEFT JOIN cand ON cand.i = g.i AND NOT list_contains(used, cand.source_col) GROUP BY g.i, used))"""
+
+
+@query(f"WITH RECURSIVE {_TAKEN} SELECT template_col, source_col, CASE WHEN source_col IS NULL THEN 'unmapped' ELSE 'fuzzy' END AS match_source, confidence FROM g WHERE i > 0")
+def greedy_mapping(spark, sf_dir):
+    """M6: columns in order take the best source that is left; a source is used once, also where a later column would like it"""
+    names = _t(spark, sf_dir, "part").select("p_name").distinct()
+    order = F.row_number().over(Window.orderBy("p_name")) - 1  # the vocabulary's 64 names
+    source = F.col("p_name").rlike("^(red|hot) ")
+    template = names.where(~source).select(F.col("p_name").alias("template_col"), F.lit("text").alias("data_type"), order.alias("t_pos"))
+    sources = names.where(source).select(F.lit("f").alias("group"), F.col("p_name").alias("source_col"), F.when(F.col("p_name").startswith("red "), "code").otherwise("unknown").alias("inferred"), order.alias("s_pos"))
+    return greedy(score_pairs(template, sources), 35.0).select(F.inline("mappings"))
+
+
 # ---------------------------------------------------------------- dates beyond the listed ways, settings, stores, providers
 
 _LONG = ("%d %B %Y", "%Y-%m-%dT%H:%M:%SZ", "%Y", "%m-%d-%Y", "%H:%M", "today")
