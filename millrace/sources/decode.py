@@ -38,12 +38,17 @@ def _strings(book: zipfile.ZipFile) -> list[str]:
     return ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in root.findall(f"{_MAIN}si")]
 
 
+def is_date_code(code: str) -> bool:
+    """Whether a number format shows a date or time."""
+    return bool(re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code), re.I)) and code.lower() != "general"
+
+
 def _date_styles(book: zipfile.ZipFile) -> set[int]:
     if "xl/styles.xml" not in book.namelist():
         return set()
     root = ET.fromstring(book.read("xl/styles.xml"))
     own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in root.iter(f"{_MAIN}numFmt")}
-    dates = DATE_FORMATS | {k for k, code in own.items() if re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code), re.I)}
+    dates = DATE_FORMATS | {k for k, code in own.items() if is_date_code(code)}
     formats = root.find(f"{_MAIN}cellXfs")
     return {i for i, x in enumerate(formats if formats is not None else []) if int(x.get("numFmtId", 0)) in dates}
 
@@ -69,6 +74,13 @@ def _number(x: float) -> str:
     return str(int(x)) if x == int(x) and abs(x) < 1e15 else repr(x)
 
 
+def number_cell(x: float, date: bool) -> Cell:
+    """A number, or the date that it shows as; beyond the calendar a number."""
+    if date and -693593 <= x < 2958466:
+        return "d", (datetime(1899, 12, 30) + timedelta(seconds=round(x * 86400))).isoformat(sep=" "), x
+    return "n", _number(x), x
+
+
 def _cell(c, strings: list[str], dates: set[int]) -> Cell:
     """A cell by its type; errors (#N/A and the like) are empty, booleans are kind b."""
     kind, v = c.get("t", "n"), c.find(f"{_MAIN}v")
@@ -83,11 +95,7 @@ def _cell(c, strings: list[str], dates: set[int]) -> Cell:
         return "s", v.text, None
     if kind == "b":
         return "b", "True" if v.text == "1" else "False", float(v.text)
-    x = float(v.text)
-    if int(c.get("s", 0)) in dates:
-        at = datetime(1899, 12, 30) + timedelta(seconds=round(x * 86400))
-        return "d", at.isoformat(sep=" "), x
-    return "n", _number(x), x
+    return number_cell(float(v.text), int(c.get("s", 0)) in dates)
 
 
 def xlsx_rows(data: bytes, part: str) -> Iterator[list[Cell]]:

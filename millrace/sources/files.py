@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.header import CELL
-from . import decode
+from . import decode, xls
 
 #: Extensions by how they are read.
 ENGINES = {"xlsx": "workbook", "xlsm": "workbook", "xls": "legacy", "csv": "csv"}
@@ -43,7 +43,7 @@ def grids(files: DataFrame, encoding: str = "utf-8-sig", documents: Callable[[st
     """Rows of all sheets of the files, in order, each file decoded once. A file that fails gives one row with its error.
 
     A file is decoded by one task as a stream; batches of rows leave it as they fill. documents: a reader of PDF and image files
-    (path, bytes) -> rows of cells; without one these files report that the backend is missing, as .xls files do.
+    (path, bytes) -> rows of cells; without one these files report that the backend is missing.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -57,9 +57,11 @@ def grids(files: DataFrame, encoding: str = "utf-8-sig", documents: Callable[[st
         elif kind == "workbook":
             for i, (name, part) in enumerate(decode.sheet_names(data)):
                 yield name, i, decode.xlsx_rows(data, part)
+        elif kind == "legacy":
+            yield from xls.sheets(data)
         elif documents is not None and path.rsplit(".", 1)[-1].lower() in DOCUMENTS:
             yield "Nội dung", 0, documents(path, data)
-        elif kind == "legacy" or path.rsplit(".", 1)[-1].lower() in DOCUMENTS:
+        elif path.rsplit(".", 1)[-1].lower() in DOCUMENTS:
             raise BackendMissing(f"no backend installed for {path}")
         else:
             raise ValueError(f"unsupported format: {path}")
