@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import csv
 import io
+import re
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -254,11 +256,18 @@ def issue_export(spark, sf_dir):
     return spark.createDataFrame([(int(r[0]), *r[1:]) for r in rest], f"`{first[0]}` long, " + ", ".join(f"`{c}` string" for c in first[1:]))
 
 
+def _driver_folder(spark: SparkSession) -> Path:
+    """The shared folder as the driver, which reads sidecars and settings itself, sees it."""
+    at = Path(re.sub("^file:/+", "/", staging.folder(spark)))
+    at.mkdir(parents=True, exist_ok=True)
+    return at
+
+
 @query("""SELECT (ordinal_position - 1)::int AS pos, column_name AS name, column_name LIKE '%key' AS required, CASE WHEN data_type = 'DOUBLE' THEN '0' END AS "default", CASE WHEN data_type = 'DOUBLE' THEN 'number' END AS data_type FROM (SELECT *, row_number() OVER (ORDER BY column_index) AS ordinal_position FROM duckdb_columns() WHERE table_name = 'customer')""")
 def template_sidecar(spark, sf_dir):
     """A template from a file's header with what its sidecar adds"""
     schema = _t(spark, sf_dir, "customer").schema
-    path = f"{staging.folder(spark).removeprefix('file://')}/template-{id(schema)}.csv"
+    path = f"{_driver_folder(spark)}/template-{id(schema)}.csv"
     spark.createDataFrame([(",".join(schema.names),)], "value string").coalesce(1).write.mode("overwrite").text(path)
     part = spark.read.format("binaryFile").load(path).select("path").first().path
     columns = tuple(TemplateColumn(f.name, f.name.endswith("key"), 0 if f.dataType.simpleString() == "double" else None, "number" if f.dataType.simpleString() == "double" else None, i) for i, f in enumerate(schema))
@@ -459,10 +468,7 @@ def base_urls(spark, sf_dir):
 @query("SELECT n_nationkey::double AS fuzzy_threshold, n_name AS model, n_nationkey % 2 = 0 AS trim, n_nationkey AS skip FROM nation")
 def settings_round_trip(spark, sf_dir):
     """K4: settings are saved and loaded in full"""
-    from pathlib import Path
-
-    at, out = Path(staging.folder(spark).removeprefix("file://")), []
-    at.mkdir(parents=True, exist_ok=True)
+    at, out = _driver_folder(spark), []
     for r in _t(spark, sf_dir, "nation").collect():  # a handful of settings files
         Settings(AIConfig(model=r.n_name), CleanRules(trim=r.n_nationkey % 2 == 0), float(r.n_nationkey), None, r.n_nationkey).save(at / "settings.json")
         s = Settings.load(at / "settings.json")

@@ -13,6 +13,7 @@ from millrace.sources.decode import csv_rows, sheet_names, write_xlsx, xlsx_rows
 from millrace.sources.files import discover, engine
 from millrace.streaming.clean import read_folder, write_cleaned
 
+#: The source rows, template and expected cells that the specified behaviour is stated with.
 SOURCE = 'Ma_NV,Ten,Ngay sinh,Luong,Ghi chu\nA1,"  An  ",2000-02-01,"1,000,000",x\nA2,Binh,15/03/1999,2.500.000,y\n'
 TEMPLATE = Template((TemplateColumn("Mã NV", True, order=0), TemplateColumn("Tên", True, order=1), TemplateColumn("Ngày sinh", data_type="date", order=2), TemplateColumn("Lương", data_type="number", default=0, order=3)))
 
