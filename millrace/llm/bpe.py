@@ -32,7 +32,7 @@ class WordBpe:
     """Tables of a word-end BPE vocabulary (the JSON of the tokenizers library, given as text)."""
 
     #: Entries of the table of words seen last, and their letters.
-    MOST, HEAVIEST = 200_000, 8 << 20
+    MOST, HEAVIEST = 150_000, 8 << 20
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -56,8 +56,17 @@ class WordBpe:
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
         found = "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))
         self.find_special = regex.compile(f"({found})") if found else None
+        #: Ids of the chunks and words seen lately, and of the chunks seen before them.
         self.seen: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.weight, self.pairs = 0, None
+        probe = lambda text: [w for w, _ in self.split.pre_tokenize_str(self.normal.normalize_str(text))]
+        one = lambda c: (probe(c) * 2)[0] if len(probe(c)) == 1 else ""  # noqa: E731  what a letter or mark becomes
+        latin = [c for c in map(chr, range(0x41, 0x180)) if c.isalpha()]  # none of them combines with a neighbour or depends on it
+        self.small = {ord(c): x for c in latin if (x := one(c)) and probe(f"a{c}b") == [f"a{x}b"] and probe(f"{c}{c}") == [x + x]}
+        self.letters = frozenset(map(chr, self.small))
+        self.marks = {c: x for c in ".,;:!?)\"" if (x := one(c)) and probe(f"Ab{c}") == ["ab", x] and probe(f"\u00e9{c}") == [one("\u00e9"), x]}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.size + right
@@ -134,20 +143,23 @@ class WordBpe:
                         out[some[k]] = ids.tobytes()
         return out
 
+    def pieces(self, chunk: str) -> list[str]:
+        """Words of a chunk without white space, by the vocabulary's own normalizer and splitter. Letters that they are known to
+        keep together, alone or before a mark that they part from them, need no call."""
+        if self.letters.issuperset(chunk):
+            return [chunk.translate(self.small)]
+        if chunk[-1] in self.marks and self.letters.issuperset(chunk[:-1]) and len(chunk) > 1:
+            return [chunk[:-1].translate(self.small), self.marks[chunk[-1]]]
+        return [w for w, _ in self.split.pre_tokenize_str(self.normal.normalize_str(chunk))]
+
     def learn(self, chunks: list[str]) -> None:
-        """Chunks without white space: their words by the vocabulary's own normalizer and splitter, then merged."""
-        words, counts = [], []
-        for chunk in chunks:
-            own = [chunk.lower()] if chunk.isascii() and chunk.isalpha() else [w for w, _ in self.split.pre_tokenize_str(self.normal.normalize_str(chunk))]
-            words += own
-            counts.append(len(own))
-        new = list(dict.fromkeys(words))
-        ids = dict(zip(new, self.words(new), strict=True))
-        at = 0
-        for chunk, n in zip(chunks, counts, strict=True):
-            self.weight += len(chunk)
-            self.seen[chunk] = ids[words[at]] if n == 1 else b"".join(ids[w] for w in words[at : at + n])
-            at += n
+        """Ids of chunks; words not seen lately are merged together."""
+        known, own = self.known, [*map(self.pieces, chunks)]
+        new = [w for w in dict.fromkeys(w for words in own for w in words) if w not in known]
+        for w, ids in zip(new, self.words(new), strict=True):
+            known[w] = ids
+        for chunk, words in zip(chunks, own, strict=True):
+            self.seen[chunk] = known[words[0]] if len(words) == 1 else b"".join(map(known.__getitem__, words))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; the special tokens' own strings become their ids."""
@@ -169,14 +181,24 @@ class WordBpe:
 
     def put(self, held: list, out: list[list[bytes]]) -> None:
         """Ids of at most twice MOST chunks, those not seen lately learnt together."""
-        if len(self.seen) > self.MOST or self.weight > self.HEAVIEST:
-            self.seen.clear()
-            self.weight = 0
-        seen = self.seen
-        if new := [c for c in dict.fromkeys(c for _, part in held if not isinstance(part, str) for c in part) if c not in seen]:
-            self.learn(new)
+        seen, old = self.seen, self.old
+        new = set()
+        for _, part in held:
+            if not isinstance(part, str):
+                new.update(part)
+        new = new.difference(seen)
+        again = new.intersection(old)
+        seen.update((c, old[c]) for c in again)
+        new = list(new.difference(again))
+        self.weight += sum(map(len, new))
+        self.learn(new)
         for i, part in held:
             out[i] += [self.special[part].to_bytes(4, "little")] if isinstance(part, str) else map(seen.__getitem__, part)
+        # the chunks of the last while stay at hand when a table is full
+        if len(seen) > self.MOST or self.weight > self.HEAVIEST:
+            self.seen, self.old, self.weight = {}, seen if self.weight <= self.HEAVIEST else {}, 0
+            if len(self.known) > self.MOST or not self.old:
+                self.known = {}
 
     def decode(self, ids: bytes) -> str:
         """The library's decode without a decoder: the tokens' strings, one space apart."""
