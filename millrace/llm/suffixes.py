@@ -1,16 +1,18 @@
 """Op 10: removal of repeated byte strings by distributed prefix doubling.
 
-Every position of every document is a suffix, and its rank stands for the class of its prefix. Ranks are made of
-pairs of ranks at growing offsets, each time by one Spark exchange and sort of (rank pair, position), and positions
-drop out once they are unique or past the threshold:
-
-* 32 bytes: the window of `length` bytes at a position belongs to the smallest hashed gram within it, so equal
-  windows belong to equal grams, and one entry stands for a run of positions. Runs with a gram of their own are
-  unique. Of runs that are equal as a whole (gram and all text around it) all but the first are settled.
-* 66 bytes: a window holds at least half of what it may hold beside its gram either left or right of it. Positions
-  for which the pair (gram, that side) is unique drop out.
-* 100 bytes: the positions left, where equal text begins or ends, are sorted by the ranks of both halves of their
-  window; of equal pairs all but the first are repeated.
+Every position of every document is a suffix; one whose prefix of `length` bytes has an earlier equal is repeated.
+
+Settling (32 bytes): most positions are known to be unique or repeated before any doubling. The window of `length` bytes
+at a position belongs to the smallest hashed gram within it, so equal windows belong to equal grams, and one entry stands
+for a run of positions. Runs with a gram of their own are unique; of runs that are equal as a whole (gram and all text
+around it) all but the first are repeated. What stays open are positions where equal text begins or ends.
+
+Doubling over the open positions, each step a Spark exchange of (rank pair, position) and a sort of the pairs within a
+bucket:
+
+* offset 25: pairs of the names of 25 bytes, at each open position and where the second half of its window begins. Equal
+  pairs get one rank; positions whose pair stands alone are unique and drop out.
+* offset 50: pairs of these ranks, brought together by document. Of equal pairs all but the first are repeated.
 
 Sampling only settles runs of positions together; no position is skipped.
 
@@ -22,7 +24,7 @@ other text are parts of that document, in the order of a tag of their text. Othe
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,11 @@ GRAM = 32
 #: A word: 49 bits of position, 12 of further positions, 2 of kind.
 SETTLED, OPEN = 1, 2
 _TYPES = ("<u4", "<u4", "<u2", "<u2", "<u2", "<i8", "<i8", "<u4", "u1", "u1")
-_PAIRS = ("<u4", "<u4", "<u2", "<i8", "<i8", "<u4")
+_NAMED = ("<u4", "<u2", "<u4", "<u2", "<i8", "<i8", "<u4", "u1")
+_RANKED = ("<u4", "<u4", "<i8", "<i8", "<u4", "u1")
+_PAIRS = ("<u4", "<u4", "<u4", "<u4", "<i8", "<i8", "<u4")
+#: Bits of a stretch of a document within which rank pairs are made by one task.
+STRETCH = 20
 
 
 def word_of(at, more, kind):
@@ -150,9 +156,16 @@ def settling(length: int, gram: int):
     return settle
 
 
-def paired(open_texts: DataFrame, length: int) -> DataFrame:
-    """The open positions with the ranks of both halves of their window, named by hashes; copies in the batch settled."""
-    half, n = -(-length // 2), C.U64(B.count(open_texts))
+def halves(length: int) -> tuple[int, int]:
+    """Lengths of the prefixes that are ranked before the whole: about a quarter, about a half."""
+    half = -(-length // 2)
+    return -(-half // 2), half
+
+
+def named(open_texts: DataFrame, length: int) -> DataFrame:
+    """Rank pairs of the first offset: for each open position, and the one where the second half of its window begins, the
+    names of the quarter there and of the next one. Only here is the text read; names are 48-bit hashes."""
+    (quarter, half), n = halves(length), C.U64(B.count(open_texts))
 
     def lots(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
         lot, size = [], 0
@@ -177,29 +190,128 @@ def paired(open_texts: DataFrame, length: int) -> DataFrame:
             first = np.r_[0, np.cumsum(sizes)[:-1]]
             data = np.frombuffer(b"".join(x[3] for x in lot), np.uint8)
             part = np.repeat(np.arange(len(lot)), [len(x[4]) for x in lot])
-            at = first[part] + np.concatenate([x[4] for x in lot])
-            ranks = C.Rolling(C.BYTE_VALUES[0][data]), C.Rolling(C.BYTE_VALUES[1][data], 1)
-            left, right = ranks[0].spans(at, at + half), ranks[1].spans(at + length - half, at + length)
-            doc, tag, start = (np.array([x[k] for x in lot]) for k in range(3))
-            doc, tag, at = doc[part], tag[part], start[part] + at - first[part]
-            order = np.lexsort((at, tag, doc, right, left))
-            left, right, doc, tag, at = (x[order] for x in (left, right, doc, tag, at))
-            new, rest = B.repeats((left, right), (doc, tag, at))
-            if rest.any():
-                yield B.passing(doc[rest], tag[rest], word_of(at[rest], np.zeros(rest.sum(), np.int64), SETTLED))
-            left, right, doc, tag, at = (x[new] for x in (left, right, doc, tag, at))
-            low = C.U64(0xFFFFFFFF)
-            yield B.packed(((left >> C.U64(32)) % n).astype(np.int64), [left & low, right & low, right >> C.U64(48), doc, tag, at], _PAIRS, by=doc)
+            open_ = first[part] + np.concatenate([x[4] for x in lot])
+            both = np.zeros(len(data), np.uint8)
+            both[open_] = 1
+            both[open_ + length - half] |= 2
+            at = np.flatnonzero(both)
+            part = np.searchsorted(first, at, side="right") - 1
+            names = C.Rolling(C.BYTE_VALUES[0][data])
+            left, right = names.spans(at, at + quarter), names.spans(at + half - quarter, at + half)
+            doc, tag, start = (np.array([x[k] for x in lot])[part] for k in range(3))
+            low, bits = C.U64(0xFFFFFFFF), C.U64(48)
+            bucket = (C.mix(left ^ (right * C.U64(0x9E3779B97F4A7C15))) % n).astype(np.int64)
+            yield B.packed(bucket, [left & low, left >> bits, right & low, right >> bits, doc, tag, start + at - first[part], both[at] & 1], _NAMED, by=doc)
 
     return C.mapped(open_texts, step, B.SCHEMA, 2 * C.STEP)
 
 
-def rerank(left, right, high, doc, tag, at) -> Iterator[tuple[np.ndarray, ...]]:
+#: Positions that a task gathers before it packs them for the next exchange.
+GATHERED = 1 << 20
+
+
+def in_buckets(packs: DataFrame, types: tuple[str, ...], solve: Callable[..., tuple | None], to: tuple[str, ...] | None = None) -> DataFrame:
+    """solve(bucket, columns) over whole buckets: a Spark exchange by bucket and a sort within it. Without `to` it gives marks; with it
+    (next bucket, columns of these types, document), packed over the buckets of a task, so that a task sends a row for each next
+    bucket and not one for each pair of buckets."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = B.SCHEMA if to else B.MARKS
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def packed() -> pa.RecordBatch:
+            dealt, columns, doc = (np.concatenate([x[0] for x in held]), [np.concatenate(c) for c in zip(*(x[1] for x in held), strict=True)], np.concatenate([x[2] for x in held]))
+            held.clear()
+            return C.record(B.packed(dealt, columns, to, by=doc), arrow)
+
+        for bucket, rows in C.groups(batches, "bucket"):
+            out = solve(int(bucket), *B.unpacked(rows.column("payload").to_pylist(), types))
+            if out is None:
+                continue
+            if to is None:
+                yield C.record(dict(zip(("doc_id", "tag", "word"), out, strict=True)), arrow)
+                continue
+            dealt, columns, doc = out
+            held.append((dealt, [c.astype(t) for c, t in zip(columns, to, strict=True)], doc))
+            if sum(len(x[0]) for x in held) >= GATHERED:
+                yield packed()
+        if held:
+            yield packed()
+
+    return packs.repartition(C.partitions(packs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+def ranking(length: int, n: int):
+    """Sorts rank pairs, gives equal ones one rank, and drops those that stand alone; the rest goes back to its document."""
+    back = length - halves(length)[1]
+
+    def rank(bucket, *columns) -> tuple | None:
+        *key, doc, tag, at, open_ = columns
+        order = np.lexsort(key[::-1])
+        key, doc, tag, at, open_ = [k[order] for k in key], doc[order], tag[order], at[order].astype(np.int64), open_[order]
+        cuts = B.starts_of(*key)
+        counts = np.diff(np.r_[cuts, len(doc)])
+        many = np.repeat(counts > 1, counts)
+        if not many.any():
+            return None
+        number = np.repeat(np.arange(len(cuts)), counts)[many]
+        doc, tag, at, open_ = doc[many], tag[many], at[many], open_[many]
+        # a long document's positions are dealt out by stretches; one that begins a second half goes to the first half's too
+        stretch = at >> STRETCH
+        before = np.maximum(at - back, 0) >> STRETCH
+        twice = np.flatnonzero(before != stretch)
+        send = np.r_[np.arange(len(at)), twice]
+        where = np.r_[stretch, before[twice]]
+        dealt = (C.mix(doc[send].astype(C.U64) ^ C.mix(tag[send].astype(C.U64) + where.astype(C.U64))) % C.U64(n)).astype(np.int64)
+        flag = np.r_[open_, np.zeros(len(twice), open_.dtype)]
+        return dealt, [np.full(len(send), bucket), number[send], doc[send], tag[send], at[send], flag], doc[send]
+
+    return rank
+
+
+def doubling(length: int, n: int):
+    """Of each stretch of a document: pairs of the ranks at an open position and at the second half of its window."""
+    back = length - halves(length)[1]
+
+    def place(doc, tag, at):
+        return C.mix(doc.astype(C.U64) ^ C.mix(tag.astype(C.U64) ^ C.mix(at.astype(C.U64))))
+
+    def pair(_, high, low, doc, tag, at, open_) -> tuple | None:
+        at = at.astype(np.int64)
+        key = place(doc, tag, at)
+        order = np.argsort(key, kind="stable")
+        key, high, low, doc, tag, at, open_ = (x[order] for x in (key, high, low, doc, tag, at, open_))
+        p = np.flatnonzero(open_)
+        q = np.minimum(np.searchsorted(key, place(doc[p], tag[p], at[p] + back)), len(key) - 1)
+        found = (doc[q] == doc[p]) & (tag[q] == tag[p]) & (at[q] == at[p] + back)
+        p, q = p[found], q[found]
+        if not len(p):
+            return None
+        bucket = C.mix((high[p].astype(C.U64) << C.U64(32) | low[p]) ^ C.mix(high[q].astype(C.U64) << C.U64(32) | low[q])) % C.U64(n)
+        return bucket.astype(np.int64), [high[p], low[p], high[q], low[q], doc[p], tag[p], at[p]], doc[p]
+
+    return pair
+
+
+def repeats_of(_, *columns) -> tuple:
     """Rank pairs sorted: a pair of its own is unique; of equal pairs all but the first are repeated."""
-    order = np.lexsort((at, tag, doc, high, right, left))
-    left, right, high, doc, tag, at = (x[order] for x in (left, right, high, doc, tag, at))
-    _, again = B.repeats((left, right, high), (doc, tag, at))
-    yield doc[again], tag[again], word_of(at[again], np.zeros(again.sum(), np.int64), SETTLED)
+    *key, doc, tag, at = columns
+    order = np.lexsort((at, tag, doc, *key[::-1]))
+    key, doc, tag, at = [k[order] for k in key], doc[order], tag[order], at[order]
+    _, again = B.repeats(tuple(key), (doc, tag, at))
+    return doc[again], tag[again], word_of(at[again], np.zeros(again.sum(), np.int64), SETTLED)
+
+
+def doubled(open_texts: DataFrame, length: int) -> DataFrame:
+    """Marks of the open positions whose window stands earlier: ranks of a quarter, of a half, of the whole."""
+    n = max(64, 2 * C.partitions(open_texts.sparkSession))
+    ranked = C.staged(in_buckets(named(open_texts, length), _NAMED, ranking(length, n), _RANKED), "ranked", large=True)
+    pairs = in_buckets(ranked, _RANKED, doubling(length, n), _PAIRS)
+    return C.staged(in_buckets(pairs, _PAIRS, repeats_of), "again", large=True)
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept: bool = False) -> DataFrame:
@@ -209,7 +321,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept: bool
     marks = C.staged(B.resolved(anchored(keyed, length, gram), _TYPES, settling(length, gram)), "runs", large=True)
     open_ = marks.where(F.col("word").bitwiseAND(3) == OPEN)
     near = C.marked(keyed, open_)[0].join(B.by_document(open_).hint("merge"), ["doc_id", "tag"])
-    again = C.staged(B.resolved(paired(near, length), _PAIRS, rerank), "again", large=True)
+    again = doubled(near, length)
     found = marks.where(F.col("word").bitwiseAND(3) == SETTLED).union(again)
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
