@@ -87,3 +87,24 @@ def grids(files: DataFrame, encoding: str = "utf-8-sig", documents: Callable[[st
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), arrow, strict=True)], schema=arrow)
 
     return files.select("path", "content").mapInArrow(run, SCHEMA)
+
+
+def large_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> tuple[DataFrame, DataFrame]:
+    """Records and names, as the pipeline takes them, of one CSV file of any size, read in parallel by blocks of lines.
+
+    For files that one task can't hold. The first line is the header; no quoted value may hold a line break; cells beyond the
+    header are cut. Rows are numbered by their place in the file: only the number of rows of each block reaches the driver.
+    """
+    raw = spark.read.options(header=True, encoding=encoding, mode="PERMISSIVE", enforceSchema=True, escape='"', nullValue="\0").csv(path)
+    names = raw.columns
+    # every column is read, whatever is asked for: a block must have as many rows in both passes
+    rows = raw.select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"), F.array(*[F.col(f"`{n}`") for n in names]).alias("cells"))
+    blocks = rows.groupBy("block").agg(F.min("mid").alias("first"), F.count("*").alias("n"), F.max(F.size("cells"))).orderBy("block").collect()
+    starts, total = [], 0
+    for b in blocks:
+        starts.append((b.block, b.first, total))
+        total += b.n
+    at = spark.createDataFrame(starts, "block long, first long, start long")
+    cells = F.transform("cells", lambda x: F.when(~x.isin(*decode.NULLS), x))
+    recs = rows.join(F.broadcast(at), "block").select(F.lit(path).alias("source_path"), F.lit(decode.CSV_SHEET).alias("sheet"), (F.col("mid") - F.col("first") + F.col("start")).alias("row_idx"), F.map_from_arrays(F.array(*map(F.lit, names)), cells).alias("values"))
+    return recs, spark.createDataFrame([(path, decode.CSV_SHEET, names, 0)], "source_path string, sheet string, names array<string>, duplicates int")

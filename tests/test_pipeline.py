@@ -10,7 +10,7 @@ from millrace.plans.model import AIConfig, CleanRules, Mapping, Settings, Templa
 from millrace.plans.pipeline import load_template, read_records, source_columns, standardize, standardize_records
 from millrace.sources import sinks
 from millrace.sources.decode import csv_rows, sheet_names, write_xlsx, xlsx_rows
-from millrace.sources.files import discover, engine
+from millrace.sources.files import discover, engine, large_csv
 from millrace.streaming.clean import read_folder, write_cleaned
 
 #: The source rows, template and expected cells that the specified behaviour is stated with.
@@ -210,6 +210,24 @@ def test_no_limit_on_rows_and_cells(spark, tmp_path):
     assert header.transposed(stored(grid, "grid")).first().transposed
 
 
+def test_a_large_csv_is_read_by_blocks(spark, tmp_path):
+    """Numbers of rows follow the file, whatever blocks it is read in; cells as a small file's."""
+    path = tmp_path / "big.csv"
+    path.write_text("Ma_NV,Ten,Ngay sinh,Luong\n" + "".join(f'A{i},"An, ""{i}""",01/02/2000,{"NA" if i % 5 == 0 else i}\n' + "\n" * (i % 97 == 0) for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+        recs, names = large_csv(spark, str(path))
+        assert recs.rdd.getNumPartitions() > 5
+        rows = recs.orderBy("row_idx").collect()
+        assert [r.row_idx for r in rows] == list(range(20_000))
+        assert all(r["values"] == {"Ma_NV": f"A{r.row_idx}", "Ten": f'An, "{r.row_idx}"', "Ngay sinh": "01/02/2000", "Luong": None if r.row_idx % 5 == 0 else str(r.row_idx)} for r in rows)
+        out = standardize_records(recs, names, TEMPLATE)
+        assert out.table.count() == 20_000 and out.issues.where("type = 'missing_value'").count() == 4_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_staged_tables_need_a_shared_folder(spark):
     at = staging.materialized(spark.range(3), "t")
     assert at.count() == 3 and at.inputFiles()[0].startswith("file:")
