@@ -169,10 +169,11 @@ def standard_table(spark, sf_dir):
 
 @query(f"""WITH {_ROWS} SELECT f AS source_path, r + 2 AS row, 'Số dư' AS "column", 'error' AS severity, 'bad_format' AS type, '?' AS value FROM c WHERE bad
 UNION ALL SELECT f, r + 2, 'Số dư', 'warning', 'missing_value', '0' FROM c WHERE gap
-UNION ALL SELECT DISTINCT f, 0, 'Phu', 'warning', 'extra_column', NULL FROM c""")
+UNION ALL SELECT DISTINCT f, 0, 'Phu', 'warning', 'extra_column', NULL FROM c
+UNION ALL SELECT DISTINCT f, 0, 'Www', 'error', 'unmapped_column', NULL FROM c""")
 def standard_issues(spark, sf_dir):
-    """A1, M8: the issue log of all files"""
-    return _standardized(spark, sf_dir).issues.select("source_path", "row", "column", "severity", "type", "value")
+    """A1, M8: the issue log of all files, with the mapping's own issues"""
+    return _standardized(spark, sf_dir, template=Template((*_TEMPLATE.columns, TemplateColumn("Www", order=4)))).issues.select("source_path", "row", "column", "severity", "type", "value")
 
 
 @query(f"""WITH {_ROWS} SELECT f AS source_path, count(*) AS row_count, 4 AS mapped_columns, count(*) FILTER (bad) AS error_count, 1 + count(*) FILTER (gap) AS warning_count, CASE WHEN count(*) FILTER (bad) = 0 THEN 'ok' ELSE 'partial' END AS status FROM c GROUP BY f
