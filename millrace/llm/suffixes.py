@@ -66,12 +66,13 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def parts_of(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
-    """(document, offset, bytes) in lots of about STEP bytes; parts of a long text overlap by length - 1."""
-    lot, size = [], 0
+    """(document, offset, bytes) in lots of about half of STEP bytes, as a dozen arrays of 64-bit numbers are made of each; parts of
+    a long text overlap by length - 1."""
+    lot, size, most = [], 0, C.STEP // 2
     for d, text in enumerate(texts):
-        for at in range(0, len(text) - length + 1, C.STEP):
-            lot.append((d, at, text[at : at + C.STEP + length - 1]))
-            if (size := size + len(lot[-1][2])) >= C.STEP:
+        for at in range(0, len(text) - length + 1, most):
+            lot.append((d, at, text[at : at + most + length - 1]))
+            if (size := size + len(lot[-1][2])) >= most:
                 yield lot
                 lot, size = [], 0
     if lot:
