@@ -43,13 +43,15 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination (2): the removal spans are cut out."""
+    """Benchmark decontamination (2): the removal spans are cut out. Repeated rows are each searched; a row that loses all of its
+    words goes, one that had none stays; an empty benchmark changes nothing."""
     found = decontaminate.decontaminated(docs, common.table(spark, sf_dir, "benchmark"), kept=True, carry=_others(docs) or None)
     return _rewritten(docs, found, "n_hit")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE (5): doc_id, n_tokens, ids (little-endian 32-bit) and the text decoded from them."""
+    """BPE (5): doc_id, n_tokens, ids (little-endian 32-bit) and the text decoded from them. Null and empty texts have no tokens;
+    repeated rows are each encoded."""
     return bpe.bpe(docs)
 
 
@@ -61,7 +63,7 @@ STAGES = [
     ("bpe", encoded),
 ]
 
-#: Chunk boundaries, classifiers and merges aren't SQL; the tests hold the stages against brute force.
+#: Classifiers and merges aren't SQL; the tests hold run() against plain loops, stage by stage.
 ORACLE_SQL = None
 
 
