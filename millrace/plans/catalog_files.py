@@ -278,7 +278,7 @@ def template_sidecar(spark, sf_dir):
     return spark.createDataFrame([(c.order, c.name, c.name in template.required, None if c.default is None else str(c.default), c.data_type) for c in template.columns], "pos int, name string, required boolean, default string, data_type string")
 
 
-@query("SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations'])")
+@query("SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS name")
 def file_discovery(spark, sf_dir):
     """Files of a folder by extension, each once"""
     return discover(spark, sf_dir, kinds=("parquet",)).select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("name"))
