@@ -71,21 +71,47 @@ def transposed(grid: DataFrame) -> DataFrame:
     return files.select(*_FILE, F.coalesce(tests, F.lit(False)).alias("transposed"))
 
 
+def _once(value: Column, body) -> Column:
+    """body(value), value computed once: an expression used within a lambda is else computed for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _runs(starts: Column, n: Column, run) -> Column:
+    """run(start, length) of each run of n places, as one array."""
+    return F.flatten(F.transform(starts, lambda p, k: run(p, F.coalesce(F.get(starts, k + 1), n) - p)))
+
+
 def clean_header(cells: Column) -> Column:
-    """Names of header cells: a blank repeats the name to its left; a leading blank is `Unnamed: i`."""
-    at = F.transform(cells, lambda x, i: F.struct(strip(x["s"]).alias("s"), i.alias("i")))
+    """Names of header cells: a blank repeats the name to its left; a leading blank is `Unnamed: i`. Linear in the width."""
+
+    def named(own: Column) -> Column:
+        size = F.size(own)
+        found = F.filter(F.transform(own, lambda x, i: F.when(x != "", i)), lambda i: i.isNotNull())
 
-    def add(out, x):
-        last = F.try_element_at(out, F.lit(-1))
-        name = F.when(x["s"] != "", x["s"]).when((F.size(out) > 0) & ~last.startswith("Unnamed: "), last).otherwise(F.concat(F.lit("Unnamed: "), x["i"].cast("string")))
-        return F.concat(out, F.array(name))
+        def filled_in(at: Column) -> Column:
+            # the name to repeat at each place: none before the first
+            left = F.concat(F.array_repeat(F.lit(None).cast("string"), F.coalesce(F.get(at, F.lit(0)), size)), _runs(at, size, lambda p, n: F.array_repeat(F.get(own, p), n)))
+            return F.transform(F.arrays_zip(own.alias("s"), left.alias("left")), lambda x, i: F.when(x["s"] != "", x["s"]).when(~x["left"].startswith("Unnamed: "), x["left"]).otherwise(F.concat(F.lit("Unnamed: "), i.cast("string"))))
 
-    return F.aggregate(at, F.array().cast("array<string>"), add)
+        return _once(found, filled_in)
+
+    return _once(F.transform(cells, lambda x: strip(x["s"])), named)
 
 
 def unique_names(names: Column) -> Column:
-    """Names with ` (2)`, ` (3)` ... behind repeated ones, so that a duplicate header doesn't fail a file."""
-    return F.transform(names, lambda x, i: F.when(F.size(F.filter(F.slice(names, 1, i + 1), lambda y: y == x)) > 1, F.concat(x, F.lit(" ("), F.size(F.filter(F.slice(names, 1, i + 1), lambda y: y == x)).cast("string"), F.lit(")"))).otherwise(x))
+    """Names with ` (2)`, ` (3)` ... behind repeated ones, so that a duplicate header doesn't fail a file. Sorted once, equal names are runs."""
+
+    def numbered(sorted_: Column) -> Column:
+        first = F.transform(sorted_, lambda x, p: F.when((p == 0) | ~x["name"].eqNullSafe(F.get(sorted_, p - 1)["name"]), p))
+
+        def back(starts: Column) -> Column:
+            count = _runs(starts, F.size(sorted_), lambda p, n: F.sequence(F.lit(1), n))
+            own = F.transform(F.arrays_zip(sorted_.alias("x"), count.alias("n")), lambda v: F.struct(v["x"]["i"].alias("i"), F.when(v["n"] > 1, F.concat(v["x"]["name"], F.lit(" ("), v["n"].cast("string"), F.lit(")"))).otherwise(v["x"]["name"]).alias("name")))
+            return F.transform(F.sort_array(own), lambda x: x["name"])
+
+        return _once(F.filter(first, lambda p: p.isNotNull()), back)
+
+    return _once(F.sort_array(F.transform(names, lambda x, i: F.struct(x.alias("name"), i.alias("i")))), numbered)
 
 
 def resolved_headers(grid: DataFrame, header_row: int | None = None, skip_rows: int = 0) -> DataFrame:
@@ -94,7 +120,9 @@ def resolved_headers(grid: DataFrame, header_row: int | None = None, skip_rows:
     rows = grid.where(F.col("row_idx") < HEAD).groupBy(*_FILE).agg(F.max("row_idx").alias("last"))
     want = F.lit(header_row) if header_row is not None else F.lit(skip_rows) if skip_rows > 0 else F.col("header_row")
     at = found.join(rows, list(_FILE)).select(*_FILE, F.when(want > F.col("last"), 0).otherwise(want).cast("long").alias("header_row"))
-    names = grid.join(at, list(_FILE)).where("row_idx = header_row").select(*_FILE, "header_row", clean_header(F.col("cells")).alias("plain"))
+    # a row for each file before names are made: a condition on them would else be tested on every row of the grid, below the join
+    heads = grid.join(at, list(_FILE)).where("row_idx = header_row").groupBy(*_FILE, "header_row").agg(F.first("cells").alias("cells"))
+    names = heads.select(*_FILE, "header_row", clean_header(F.col("cells")).alias("plain"))
     return names.select(*_FILE, "header_row", unique_names(F.col("plain")).alias("names"), (F.size("plain") - F.size(F.array_distinct("plain"))).alias("duplicates"))
 
 

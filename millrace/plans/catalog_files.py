@@ -104,7 +104,7 @@ def read_frame(spark, sf_dir):
 @query(f"WITH {_C} SELECT DISTINCT 'n' || c_nationkey AS source_path, i::int AS pos, CASE WHEN c_nationkey % 5 = 0 THEN ({list(_LABELS)!r})[i + 1] ELSE ({list(_HEAD)!r})[i + 1] END AS name FROM c, range(5) AS x(i) WHERE i < 4 OR c_nationkey % 5 <> 0")
 def header_names(spark, sf_dir):
     """Names alone, of straight and transposed sheets"""
-    _, names = read_records(_book(spark, sf_dir))
+    _, names = read_records(staging.materialized(_book(spark, sf_dir), "grid"))
     return names.select("source_path", F.posexplode("names").alias("pos", "name"))
 
 

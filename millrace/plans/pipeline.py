@@ -111,12 +111,13 @@ def standardize_records(recs: DataFrame, names: DataFrame, template: Template, s
 
 
 def read_records(grid: DataFrame, sheet: str | None = None, header_row: int | None = None, skip_rows: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Records and names of each file's sheet (the given or the best one); transposed sheets are turned."""
+    """Records and names of each file's sheet (the given or the best one); transposed sheets are turned. The grid is read many times:
+    it should be a written table. What is found of each file (its sheet and orientation) is a small table, written once."""
     grid = grid.where("cells is not null")
     chosen = grid.where(F.col("sheet") == sheet) if sheet else grid.join(H.best_sheets(grid).select("source_path", "sheet"), ["source_path", "sheet"], "left_semi")
-    turned = H.transposed(chosen)
-    straight = chosen.join(turned.where("not transposed"), ["source_path", "sheet"], "left_semi")
-    across = chosen.join(turned.where("transposed"), ["source_path", "sheet"], "left_semi")
+    turned = materialized(H.transposed(chosen), "sheets")
+    straight = grid.join(turned.where("not transposed"), ["source_path", "sheet"], "left_semi")
+    across = grid.join(turned.where("transposed"), ["source_path", "sheet"], "left_semi")
     heads = H.resolved_headers(straight, header_row, skip_rows)
     recs = H.records(straight, heads).union(H.transposed_records(across))
     labels = across.groupBy("source_path", "sheet").agg(F.array_sort(F.collect_list(F.struct("row_idx", F.try_element_at("cells", F.lit(1)).alias("c")))).alias("r"))

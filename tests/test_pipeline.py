@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -308,3 +309,30 @@ def test_stream(spark, tmp_path):
     query.awaitTermination()
     assert sorted(r.day for r in spark.read.parquet(str(tmp_path / "out/table")).collect()) == ["01/02/2000", "x"]
     assert spark.read.parquet(str(tmp_path / "out/issues")).count() == 1
+
+
+def test_wide_headers(spark):
+    """Names take time in proportion to the width, also where a condition on them is computed with them inlined."""
+    pool = ["a", "", " ", "b ", "Unnamed: 7", "c", "a"]
+    plain, out, seen = ["" if i < 2 else pool[i * i % 7] for i in range(3000)], [], {}
+    for i, x in enumerate(plain):
+        last = out[-1] if out else "Unnamed: "
+        out.append(x.strip() or (f"Unnamed: {i}" if last.startswith("Unnamed: ") else last))
+    want = [n if (k := seen.setdefault(n, []).append(i) or len(seen[n])) == 1 else f"{n} ({k})" for i, n in enumerate(out)]
+    grid = stored_grid(spark, [("f", "s", i, [("s", x, None) for x in plain]) for i in range(2)])
+    began = time.monotonic()
+    names = header.resolved_headers(grid, header_row=0).select("duplicates", F.posexplode("names").alias("pos", "name")).collect()
+    assert [r.name for r in sorted(names, key=lambda r: r.pos)] == want
+    assert names[0].duplicates == 3000 - len(set(out))
+    assert time.monotonic() - began < 60
+
+
+def test_names_are_made_of_header_rows_alone(spark):
+    """A condition on names isn't tested on every row of the grid."""
+    grid = stored_grid(spark, [("f", "s", i, [("s", "x", None), ("s", "y", None)]) for i in range(9)])
+    plan = header.resolved_headers(grid).select(F.explode("names"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Unnamed: " in plan and "Unnamed: " not in plan.split("Join", 1)[1]
+
+
+def stored_grid(spark, rows):
+    return staging.materialized(spark.createDataFrame(rows, header.GRID), "grid")
