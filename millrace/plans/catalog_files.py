@@ -18,7 +18,7 @@ from ..functions import dates, similarity, text
 from ..operators import header, layout
 from ..operators.matching import greedy, score_pairs
 from ..sources import documents, sinks
-from ..sources.files import discover, engine, grids
+from ..sources.files import engine, entries, grids
 from . import providers, staging, stores
 from .catalog import _t, query
 from .model import MAPPING, AIConfig, CleanRules, Mapping, Settings, Template, TemplateColumn, load_meta
@@ -280,8 +280,8 @@ def template_sidecar(spark, sf_dir):
 
 @query("SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS name")
 def file_discovery(spark, sf_dir):
-    """Files of a folder by extension, each once"""
-    return discover(spark, sf_dir, kinds=("parquet",)).select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("name"))
+    """Files of a folder by extension, each once, also where a table is a folder of part files"""
+    return entries(spark, sf_dir, kinds=("parquet",)).select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("name"))
 
 
 _KINDS = ("xlsx", "XLSM", "xls", "csv", "pdf", "JPG", "webp", "txt", "")

@@ -34,11 +34,23 @@ def engine(path: Column) -> Column:
 
 
 def discover(spark: SparkSession, folder: str, recursive: bool = False, kinds: tuple[str, ...] = (*ENGINES, *DOCUMENTS)) -> DataFrame:
-    """path, length, content of the files of a folder that can be read, each once."""
+    """path, length, content of the files of a folder that can be read, each once; folders of part files are found by entries()."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     return files.where(extension(F.col("path")).isin(*kinds)).select("path", "length", "content")
 
 
+def entries(spark: SparkSession, folder: str, recursive: bool = False, kinds: tuple[str, ...] = (*ENGINES, *DOCUMENTS)) -> DataFrame:
+    """path, length of what stands in a folder under one of the extensions, each once: a file, or a folder of part files, as Spark
+    writes a table (also one with folders for its partitions). Files are listed, not read; a path that a store alone resolves will do."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    parts = F.split(F.substr("path", F.lit(len(root) + 2)), "/")
+    files = files.select("length", parts.alias("parts"), F.transform(parts if recursive else F.slice(parts, 1, 1), lambda x: extension(x).isin(*kinds)).alias("of_kind"))
+    found = files.withColumn("k", F.array_position("of_kind", F.lit(True)).cast("int")).where("k > 0")
+    return found.groupBy(F.concat_ws("/", F.lit(root), F.slice("parts", F.lit(1), F.col("k"))).alias("path")).agg(F.sum("length").alias("length"))
+
+
 def grids(files: DataFrame, encoding: str = "utf-8-sig", documents: Callable[[str, bytes], Iterator[list]] | None = None) -> DataFrame:
     """Rows of all sheets of the files, in order, each file decoded once. A file that fails gives one row with its error.
 

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from millrace.operators import header, layout
 from millrace.operators.clean import apply_rules, issue_log, merged
-from millrace.plans import providers, staging, stores
+from millrace.plans import catalog, providers, staging, stores
 from millrace.plans.model import AIConfig, CleanRules, Mapping, Settings, Template, TemplateColumn, load_meta, template_of
 from millrace.plans.pipeline import load_template, read_records, source_columns, standardize, standardize_records
 from millrace.sources import sinks
 from millrace.sources.decode import csv_rows, sheet_names, write_xlsx, xlsx_rows
-from millrace.sources.files import discover, engine, large_csv
+from millrace.sources.files import discover, engine, entries, large_csv
 from millrace.streaming.clean import read_folder, write_cleaned
 
 #: The source rows, template and expected cells that the specified behaviour is stated with.
@@ -336,3 +336,16 @@ def test_names_are_made_of_header_rows_alone(spark):
 
 def stored_grid(spark, rows):
     return staging.materialized(spark.createDataFrame(rows, header.GRID), "grid")
+
+
+def test_tables_of_part_files_are_found_once(spark, sf_dir, tmp_path):
+    at = tmp_path / "a folder"
+    for path in ("a.parquet", "b.parquet/part-0.parquet", "b.parquet/part-1.parquet", "b.parquet/_SUCCESS", "c.PARQUET/k=1/part-0", "sub/d.parquet", "sub/e.parquet/part-0.parquet", "f.txt/part-0.parquet", ".g.parquet", "h.txt"):
+        (at / path).parent.mkdir(parents=True, exist_ok=True)
+        (at / path).write_bytes(b"xy")
+    found = lambda **options: {r.path.removeprefix(f"file:{at}/"): r.length for r in entries(spark, str(at), kinds=("parquet",), **options).collect()}
+    assert found() == {"a.parquet": 2, "b.parquet": 4, "c.PARQUET": 2}
+    assert found(recursive=True) == {"a.parquet": 2, "b.parquet": 4, "c.PARQUET": 2, "sub/d.parquet": 2, "sub/e.parquet": 2, "f.txt/part-0.parquet": 2}
+    spark.read.parquet(f"{sf_dir}/customer.parquet").repartition(3).write.parquet(str(tmp_path / "tables/customer.parquet"))
+    spark.read.parquet(f"{sf_dir}/nation.parquet").write.partitionBy("n_regionkey").parquet(str(tmp_path / "tables/nation.parquet"))
+    assert sorted(r.name for r in catalog.queries()["file_discovery"](spark, str(tmp_path / "tables/")).collect()) == ["customer", "nation"]
